@@ -9,7 +9,8 @@
    index holds groups: a row for each prefix shingle with size and place.
 4. Group pairs must pass the size filter and the place filter (an upper bound of
    the overlap from the places of the shared shingle). Surviving pairs are expanded
-   to classes and verified on whole texts.
+   to classes, whose parity sketches must not differ in more bits than the sets may
+   in shingles, and verified on whole texts.
 
 A large family of near copies would give a quadratic number of pairs in step 4.
 Pairs within one component add nothing to the result, so stars come first: in each
@@ -44,6 +45,8 @@ COUNT_BATCH = 1 << 21
 #: A set of ids of at most so many rows is broadcast (8 bytes each), else the join shuffles.
 BROADCAST_ROWS = 1 << 20
 STAR_ROUNDS = 3
+SKETCH_WORDS = 8
+SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,6 +62,12 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([common.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(common.mix(s ^ np.uint64(0x1234567887654321)))]).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """Parities of the shingles that fall on each bit: two sets differ in at least as many shingles as their sketches in bits."""
+    bits = np.bincount((common.mix(s) >> np.uint64(64 - (64 * SKETCH_WORDS - 1).bit_length())).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def repeated_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen in several distinct sets with their counts, sorted by shingle; for the global order only."""
 
@@ -96,10 +105,11 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray,
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = known.value
         for batch in batches:
-            sizes, sigs, rows = [], [], []
+            sizes, sigs, rows, sketches = [], [], [], []
             for _, s in _sets(batch, n):
                 sizes.append(len(s))
                 sigs.append(_signature(s))
+                sketches.append(_sketch(s))
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 if len(shingles) and length:
                     at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
@@ -109,10 +119,10 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray,
             ends = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64))).astype(np.int32)
             values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             a, b = zip(*sigs, strict=True) if sigs else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(ends, values)], names=["doc_id", "n", "sig1", "sig2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(ends, values), *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(SKETCH_WORDS))], names=["doc_id", "n", "sig1", "sig2", "prefix", *SKETCH])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(prefixes, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>")
+    return rows.mapInArrow(prefixes, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -153,8 +163,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("cid"))
     classes = common.materialize(classes)
     # A class's prefix stands with the document that names it; only that row of the copies is kept.
-    named = rows.select("doc_id", "n", "sig1", "sig2", "prefix").join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
-    grouped = common.materialize(named.select("cid", "n", "prefix", F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]))
+    named = rows.select("doc_id", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
+    grouped = common.materialize(named.select("cid", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]))
     groups = grouped.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     heads = grouped.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi")
     entries = heads.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
@@ -191,10 +201,12 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
         main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
         main = common.materialize(main.select("shingle", F.col("top.label").alias("main")))
-        open_lists = common.materialize(now.join(main, "shingle"))
-        outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"))
+        open_lists = common.materialize(now.join(main, "shingle").join(grouped.select("cid", *SKETCH), "cid"))
+        outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
+        # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
+        close = f"{' + '.join(f'bit_count({c} ^ v{c})' for c in SKETCH)} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
         # Between two classes outside the main component the smaller id asks, else both would.
-        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits}")
+        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and {close}")
         rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
         labels = components(common.materialize(_verify(rest, texts, n, percent)), labels)

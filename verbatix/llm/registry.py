@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from . import mixing, topk_search, url_filter
 from .jaccard_join import op8_jaccard_join
+from .language_id import op6_language_id
 from .token_codes import op1_token_codes
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op4_poisson_mix": mixing.op4_poisson_mix,
+    "op5_topk_search": topk_search.op5_topk_search,
+    "op6_language_id": op6_language_id,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op4_poisson_mix": mixing.ORACLE,
+    "op5_topk_search": topk_search.ORACLE,
+}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ RANK_EVERY = 512
 MAGIC = b"VDAC1\0"
 #: Ids in a segment before it is closed at the next document end.
 SEGMENT_IDS = 1 << 18
-#: Distinct text chunks whose ids a worker keeps; beyond that the cache starts anew.
-CACHE = 600_000
+#: Distinct text pieces whose ids a worker keeps; beyond that the cache starts anew.
+CACHE = 500_000
 
 SCHEMA = "shard int, segment int, first long, n_tokens long, docs array<struct<doc_id:long,first:long,n_tokens:long>>, payload binary"
 
@@ -112,37 +113,70 @@ class Codes:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, remembering the ids of text chunks.
+    """Encodes texts with a tokenizer file, remembering the ids of text pieces.
 
-    A single space between two characters that are not white space always begins
-    a new pre-token of the byte-level tokenizer, so the text between two such
-    spaces can be encoded alone, and equal chunks need it once.
+    The byte-level tokenizer always begins a new pre-token at a single space
+    between two characters that are not white space, makes a single line feed
+    there a pre-token of its own, and parts a letter from punctuation after it.
+    So the pieces between can be encoded alone, and equal pieces need it once.
     """
 
     def __init__(self, path: str):
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.odd, self.cut = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.first: dict[str, bytes] = {}  # by piece, for pieces after no space
+        self.rest: dict[str, bytes] = {}  # by piece without the space before it
+        self.odd, self.cut = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
+        self.mark = re.compile(r"(.*[A-Za-z])([.,;:!?*#$%&]+)", re.DOTALL)
+        self.line = self._ids(["\n"])[0]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), 2000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts[at : at + 2000], add_special_tokens=False)]
+        return out
 
-    def chunks(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if text[:1] == " " or text[-1:] == " " or self.odd.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+        """Ids of new pieces; punctuation at a piece's end is encoded apart, so that more pieces are alike."""
+        split = {x: m.groups() for x in pieces if (m := self.mark.fullmatch(x))}
+        new = list({x for x in pieces if x not in split} | {x for x, _ in split.values() if x not in known})
+        known.update(zip(new, self._ids([before + x for x in new]), strict=True))
+        tails = list({x for _, x in split.values() if x not in self.first})
+        self.first.update(zip(tails, self._ids(tails), strict=True))
+        known.update({x: known[a] + self.first[b] for x, (a, b) in split.items()})
 
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.chunks(x) for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({x for p in parts for x in p} - self.known.keys())
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
-        for p in parts:
-            yield b"".join(map(self.known.__getitem__, p))
+        texts = list(texts)
+        if len(self.first) + len(self.rest) > CACHE:  # what these texts use stays, mostly frequent pieces
+            lines = [x.split(" ") for t in texts for x in t.split("\n")]
+            first, rest = {x[0] for x in lines}, {y for x in lines for y in x[1:]}
+            self.first = {x: y for x in first if (y := self.first.get(x)) is not None}
+            self.rest = {x: y for x in rest if (y := self.rest.get(x)) is not None}
+        units, new_first, new_rest = [], set(), set()
+        for text in texts:
+            unit = []
+            for line in [self.cut.split(text)] if self.odd.search(text) else [x.split(" ") for x in text.split("\n")]:
+                got = [self.first.get(line[0]), *map(self.rest.get, line[1:])]
+                if None in got:
+                    new_first.add(line[0])
+                    new_rest.update(x for x, y in zip(line[1:], got[1:], strict=True) if y is None)
+                    got = line
+                unit.append(got)
+            units.append(unit)
+        if new_first or new_rest:
+            self._learn(self.first, {x for x in new_first if x not in self.first}, "")
+            self._learn(self.rest, new_rest, " ")
+        out = []
+        for unit in units:
+            lines = [b"".join(x) if isinstance(x[0], bytes) else b"".join([self.first[x[0]], *map(self.rest.__getitem__, x[1:])]) for x in unit]
+            out.append(self.line.join(lines))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -172,8 +206,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tu
 
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for a in range(0, len(doc_ids), 200):
-                for doc_id, got in zip(doc_ids[a : a + 200], encoder.encode(x or "" for x in texts[a : a + 200].to_pylist()), strict=True):
+            for a in range(0, len(doc_ids), 500):
+                for doc_id, got in zip(doc_ids[a : a + 500], encoder.encode(x or "" for x in texts[a : a + 500].to_pylist()), strict=True):
                     entries.append({"doc_id": doc_id, "first": n, "n_tokens": len(got) // 4 + 1})
                     ids += [got, end]
                     n += len(got) // 4 + 1
