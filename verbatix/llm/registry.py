@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import mixing, topk_search, url_filter
+from .decontaminate import op7_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
 from .token_codes import op1_token_codes
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
@@ -13,7 +15,9 @@ QUERIES = {
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
