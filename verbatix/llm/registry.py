@@ -6,6 +6,7 @@ from . import mixing, topk_search, url_filter
 from .decontaminate import op7_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
+from .secret_scan import op10_secret_scan
 from .token_codes import op1_token_codes
 from .toxicity import op9_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
