@@ -7,12 +7,14 @@ from .decontaminate import op7_decontaminate
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
 from .secret_scan import op10_secret_scan
+from .surrogates import op3_pii_surrogates
 from .token_codes import op1_token_codes
 from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_language_id": op6_language_id,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_poisson_mix": mixing.ORACLE,
     "op5_topk_search": topk_search.ORACLE,
 }

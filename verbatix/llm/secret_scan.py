@@ -42,7 +42,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 #: Words before a token that name a secret.
 NAMES = "password passwd pwd secret token api apikey api_key key auth authorization bearer credential credentials private access session cookie signature passphrase"
-TRAIN_TEXTS, TRAIN_ROUNDS, SEED = 600, 150, 11
+TRAIN_TEXTS, TRAIN_ROUNDS, SEED = 1500, 120, 11
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
 
 _TOKEN = np.zeros(256, bool)
@@ -92,7 +92,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     hashes, first, starts, ends = common.words(data, offsets, ~_TOKEN)
     n = len(starts)
     if not n:
-        return starts, ends, first, np.zeros((0, 5), np.int64)
+        return starts, ends, first, np.zeros((0, len(_SIZES)), np.int64)
     kind = _CLASS[data]
     sums = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
     between = lambda s, a, b: s[b] - s[a]
@@ -122,10 +122,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     digits = sums(digit > 0)
     share = (digits[first[1:]] - digits[first[:-1]]) / np.maximum(np.diff(first), 1)
     file = np.repeat(np.searchsorted([0.01, 0.05, 0.25], share, side="right"), np.diff(first))
-    return starts, ends, first, np.stack([shape, before, ahead, after, file], 1)
+    return starts, ends, first, np.stack([shape, before, ahead, after, file, lengths * 4 + mixed, turned * 8 + mixed * 2 + (digit > 0)], 1)
 
 
-_SIZES = (SHAPES, SIGNS, 3, 10, FILES)
+_SIZES = (SHAPES, SIGNS, 3, 10, FILES, 24, 40)
 _AT = np.concatenate(([0], np.cumsum(_SIZES)))
 
 
@@ -271,7 +271,7 @@ def _fit(texts: list[str]) -> Field:
 def train(docs: DataFrame) -> Field:
     """A field from the ``TRAIN_TEXTS`` texts with the smallest hash (equal texts once)."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and length(text) > 0")
-    some = rows.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 4000).alias("text")).orderBy("h", "text").limit(TRAIN_TEXTS)
+    some = rows.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(TRAIN_TEXTS)
     return _fit(sorted({r.text for r in some.collect()}))
 
 
