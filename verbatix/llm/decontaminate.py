@@ -69,7 +69,9 @@ def _hits(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[tuple[int, np.n
         row = np.searchsorted(first, at, side="right") - 1
         good = (wanted[index] == codes[at]) & (at + SEED_WORDS <= first[row + 1])
         at, index, row = at[good], index[good], row[good]
-        cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))).tolist() if len(row) else []
+        if not len(row):
+            continue
+        cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))).tolist()
         for i, j in zip(cuts, [*cuts[1:], len(row)], strict=True):
             r = int(row[i])
             yield a + r, hashes[first[r] : first[r + 1]], at[i:j] - first[r], index[i:j]
