@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel handles at once; working arrays take about 50 times that.
-SLICE_BYTES = 2 << 20
-#: Rows in an Arrow batch between the JVM and Python, so that a batch stays near 10 MB of text.
-BATCH_ROWS = 1000
+SLICE_BYTES = 512 << 10
+#: Rows in an Arrow batch between the JVM and Python, so that a batch stays near 2 MB of text.
+BATCH_ROWS = 500
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -39,9 +39,9 @@ from . import common
 from .components import components
 
 #: At most so many repeated shingles are kept for the global order (12 bytes each); others count as rare. Only the order depends on it.
-ORDER_LIMIT = 1 << 20
+ORDER_LIMIT = 1 << 19
 #: Shingles a task gathers before it counts repeats.
-COUNT_BATCH = 1 << 21
+COUNT_BATCH = 1 << 20
 #: A set of ids of at most so many rows is broadcast (8 bytes each), else the join shuffles.
 BROADCAST_ROWS = 1 << 20
 STAR_ROUNDS = 3

@@ -39,7 +39,7 @@ MAGIC = b"VDAC1\0"
 #: Ids in a segment before it is closed at the next document end.
 SEGMENT_IDS = 1 << 18
 #: Distinct text pieces whose ids a worker keeps; beyond that the cache starts anew.
-CACHE = 500_000
+CACHE = 400_000
 
 SCHEMA = "shard int, segment int, first long, n_tokens long, docs array<struct<doc_id:long,first:long,n_tokens:long>>, payload binary"
 

@@ -33,8 +33,8 @@ from .language_id import held_out
 
 SLOTS = 1 << 22
 #: The bound of the labelled sample, and of the features.
-EXAMPLES, FEATURES = 16_384, 512
-LEAST_CHI, LEAST_ROWS = 25.0, 5
+EXAMPLES, FEATURES = 16_384, 256
+LEAST_CHI, LEAST_ROWS = 80.0, 8
 BLOCK, NEAREST = 64, 15
 THRESHOLD = 0.3
 #: Examples that the calibration scores.
@@ -61,19 +61,27 @@ def _counts(column: pa.Array, known: np.ndarray) -> Iterator[tuple[int, np.ndarr
 
 
 class Index:
-    """Labelled examples in blocks, with the largest weight of each feature in a block."""
+    """Labelled examples in blocks, with the largest weight of each feature in a block; equal examples stand together."""
 
     def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
         full = vectors.any(1)
         self.idf = idf
         self.rate = (labels[~full].sum() + 0.5 * labels.mean()) / ((~full).sum() + 0.5) if len(labels) else 0.0
-        vectors, labels, ids = vectors[full], labels[full], ids[full]
-        if len(ids):  # alike examples side by side make tight maxima
-            order = np.lexsort((ids, -vectors.max(1), vectors.argmax(1)))
-            vectors, labels, ids = vectors[order], labels[order], ids[order]
-        self.vectors, self.labels, self.ids = vectors.astype(np.float32), labels, ids
-        self.starts = np.arange(0, len(ids), BLOCK)
-        self.most = np.maximum.reduceat(self.vectors, self.starts, axis=0).T.copy() if len(ids) else np.zeros((len(idf), 0), np.float32)
+        vectors, labels, ids = vectors[full].astype(np.float32), labels[full], ids[full]
+        if len(ids):
+            vectors, place, n = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
+            place, least = place.ravel(), np.full(len(n), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, ids)
+            # Alike examples side by side make tight maxima.
+            order = np.lexsort((least, -vectors.max(1), vectors.argmax(1)))
+            vectors, self.n, self.ones, self.ids = vectors[order], n[order].astype(np.float64), np.bincount(place, labels)[order], least[order]
+        else:
+            self.n, self.ones, self.ids = np.zeros(0), np.zeros(0), ids
+        self.vectors, blocks = vectors, -(-len(vectors) // BLOCK)
+        padded = np.zeros((blocks * BLOCK, len(idf)), np.float32)
+        padded[: len(vectors)] = vectors
+        self.blocks = np.ascontiguousarray(padded.reshape(blocks, BLOCK, len(idf)).transpose(0, 2, 1))
+        self.most = self.blocks.max(2).T.copy() if blocks else np.zeros((len(idf), 0), np.float32)
         self.points: tuple[np.ndarray, np.ndarray] | None = None
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
@@ -89,10 +97,11 @@ class Index:
         order = order[bound[order] > 0]
         at, cosine, low, done, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0, 4
         while done < len(order) and bound[order[done]] >= low - 1e-5:
-            rows = (self.starts[order[done : done + step], None] + np.arange(BLOCK)).ravel()
-            rows = rows[(rows < len(self.ids)) & (rows != skip)]
-            got = self.vectors[rows][:, on] @ weight
-            at, cosine = np.concatenate((at, rows[got > 0])), np.concatenate((cosine, got[got > 0]))
+            some = order[done : done + step]
+            got = (weight @ self.blocks[some[:, None], on]).ravel()
+            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            keep = (got >= max(low - 1e-5, 1e-9)) & (rows != skip)
+            at, cosine = np.concatenate((at, rows[keep])), np.concatenate((cosine, got[keep]))
             if len(at) > NEAREST:
                 keep = np.lexsort((self.ids[at], -np.round(cosine, 5)))[:NEAREST]
                 at, cosine = at[keep], cosine[keep]
@@ -105,16 +114,16 @@ class Index:
         at, cosine = self.nearest(x, skip)
         if not len(at):
             return self.rate, at, cosine
-        weight = 1 / (1.05 - np.minimum(cosine.astype(np.float64), 1))
-        return float((weight * self.labels[at]).sum() / weight.sum()), at, cosine
+        weight = 1 / (1.02 - np.minimum(cosine.astype(np.float64), 1))
+        return float((weight * self.ones[at]).sum() / (weight * self.n[at]).sum()), at, cosine
 
     def calibrate(self) -> None:
         """Pool adjacent violators over the votes of a spread of the examples, each without itself."""
         some = np.unique(np.linspace(0, len(self.ids) - 1, CALIBRATE).astype(np.int64)) if len(self.ids) else []
-        pairs = sorted((self.vote(self.vectors[k], k)[0], float(self.labels[k])) for k in some)
+        triples = sorted((self.vote(self.vectors[k], k)[0], float(self.ones[k] / self.n[k]), float(self.n[k])) for k in some)
         pools: list[list[float]] = []
-        for v, y in pairs:
-            pools.append([v, y, 1.0])
+        for v, y, n in triples:
+            pools.append([v, y, n])
             while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
                 v1, y1, n1 = pools.pop()
                 v0, y0, n0 = pools.pop()
@@ -138,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     mine = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = common.materialize(rows.join(F.broadcast(common.materialize(mine)), "doc_id"))  # at most EXAMPLES rows are broadcast
+    sample = rows.join(F.broadcast(common.materialize(mine)), "doc_id")  # at most EXAMPLES rows are broadcast
+    sample = common.materialize(sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).drop("h"))  # copies would pass for evidence
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,14 +211,14 @@ def _scorer(docs: DataFrame, labels: DataFrame):
             return
         known, index = model.value
         for _, m in _counts(column, known):
-            x = index.weigh(m)
-            full = m.any(1)
+            full = np.flatnonzero(m.any(1))
+            x = dict(zip(full.tolist(), index.weigh(m[full]), strict=True))
             for k in range(len(m)):
-                if not full[k]:
+                if k not in x:
                     yield float(index.rate), []
                     continue
                 value, at, cosine = index.score(x[k])
-                yield value, [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": round(float(c), 5)} for i, c in zip(at[:3], cosine[:3], strict=True)]
+                yield value, [{"doc_id": int(index.ids[i]), "label": round(float(index.ones[i] / index.n[i]), 5), "cosine": round(float(c), 5)} for i, c in zip(at[:3], cosine[:3], strict=True)]
 
     return run
 
@@ -216,7 +226,7 @@ def _scorer(docs: DataFrame, labels: DataFrame):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row; evidence are the nearest labelled examples."""
     run = _scorer(docs, labels)
-    near = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+    near = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.float64()), ("cosine", pa.float64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array((values >= threshold).astype(np.int32)), pa.array([x for _, x in got], near)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+    return some.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,label:double,cosine:double>>")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
