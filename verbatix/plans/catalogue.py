@@ -1,4 +1,420 @@
-"""Named queries over the supplied tables, with their SQL."""
+"""Named queries over the supplied tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+Messages are derived from ``documents``: source and translation are built around the
+first words of a text, and ``doc_id % 10`` chooses how the translation differs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats, terms
+from ..functions import tokens as T
+from ..operators import candidates, checks, glossary, judge, metrics, sampling
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SEGMENTS = """WITH base AS (SELECT doc_id + 1 AS idx, lang AS condition_id, source AS context,
+ substr(replace(text, chr(10), ' '), 1, 60) AS body, CAST(doc_id AS {S}) AS num, doc_id % 10 AS mut FROM documents)
+SELECT idx, condition_id, context,
+ concat('&Open %1 {{n}} %s <b>', body, '</b> &lt; ', num, chr(10)) AS source,
+ CASE mut
+ WHEN 0 THEN concat('&Open %1 {{n}} %s <b>', body, '</b> &lt; ', num, chr(10))
+ WHEN 1 THEN concat('Öffnen(&O) {{n}} %s <b>', body, '</b> &lt; ', num, chr(10))
+ WHEN 2 THEN concat('Öffnen(&O) %1 %1 {{m}} %s <b>', body, '</b> &lt; ', num, chr(10))
+ WHEN 3 THEN concat('Öffnen(&O) %1 {{n}} %d ', body, ' &lt; ', num, chr(10))
+ WHEN 4 THEN concat('Öffnen(&O) %1 {{n}} %s <b>', body, '</b> < ', num)
+ WHEN 5 THEN concat('Öffnen(&X) %1 {{n}} %s <b>', body, '</b> &lt; ', chr(10))
+ WHEN 6 THEN ''
+ ELSE concat('Öffnen(&O) %1 {{n}} %s <b>', body, '</b> &lt; ', num, chr(10)) END AS translation,
+ CASE WHEN mut = 7 THEN 'unfinished' WHEN mut = 6 THEN 'missing_translation_element' ELSE '' END AS translation_type
+FROM base"""
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _table(spark, sf_dir, "documents").createOrReplaceTempView("catalogue_documents")  # resolved at once by the next line
+    return spark.sql(_SEGMENTS.format(S="STRING").replace("FROM documents", "FROM catalogue_documents"))
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.checks(segments(spark, sf_dir))
+
+
+def token_counts(spark, sf_dir):
+    kinds = ("qt_placeholder", "brace_placeholder", "printf_placeholder", "html_xml_entity", "html_xml_tag", "accelerator", "escaped_control", "raw_tag")
+    rows = segments(spark, sf_dir).select("condition_id", *(F.size(T.EXTRACTORS[k](F.col(c))).alias(f"{c}_{k}") for k in kinds for c in ("source", "translation")), T.latin_count(F.col("translation")).alias("latin"), T.newline_count(F.col("translation")).alias("newlines"))
+    names = [c for c in rows.columns if c != "condition_id"]
+    return rows.groupBy("condition_id").agg(*(F.sum(c).cast("long").alias(c) for c in names))
+
+
+def issue_rows(spark, sf_dir):
+    return _issues(spark, sf_dir).select("idx", "condition_id", "issue_type", "severity", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def issue_type_counts(spark, sf_dir):
+    return metrics.issue_counts(segments(spark, sf_dir), _issues(spark, sf_dir))
+
+
+def structure_scores(spark, sf_dir):
+    return metrics.structure_scores(segments(spark, sf_dir), _issues(spark, sf_dir), 1 << 40)
+
+
+def structure_average(spark, sf_dir):
+    return metrics.structure_average(structure_scores(spark, sf_dir))
+
+
+def first_window_scores(spark, sf_dir):
+    return metrics.structure_scores(segments(spark, sf_dir), _issues(spark, sf_dir), 100)
+
+
+def deterministic_summary(spark, sf_dir):
+    return metrics.summary(segments(spark, sf_dir), _issues(spark, sf_dir))
+
+
+def failed_segments(spark, sf_dir):
+    return metrics.failed_segments(_issues(spark, sf_dir))
+
+
+def failed_summary(spark, sf_dir):
+    return metrics.failed_summary(failed_segments(spark, sf_dir))
+
+
+def condition_comparison(spark, sf_dir):
+    return metrics.compare(structure_scores(spark, sf_dir), deterministic_summary(spark, sf_dir), "en")
+
+
+def structure_pivot(spark, sf_dir):
+    return metrics.pivot_scores(structure_scores(spark, sf_dir))
+
+
+def best_and_worst(spark, sf_dir):
+    return metrics.best_and_worst(structure_scores(spark, sf_dir))
+
+
+def labelled_union(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    parts = {"all": metrics.summary(s, _issues(spark, sf_dir)).select("condition_id", "messages", "issues"), "judge": checks.checks(s, "judge").groupBy("condition_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"))}
+    return metrics.labelled_union(parts)
+
+
+def profile_severities(spark, sf_dir):
+    s, out = segments(spark, sf_dir), None
+    for name in checks.PROFILES:
+        part = checks.checks(s, name).groupBy("severity").agg(F.count("*").alias("n")).withColumn("profile", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def message_categories(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumn("source", F.when(F.col("idx") % 3 == 0, F.substring("source", 20, 500)).otherwise(F.col("source")))
+    return rows.select("condition_id", F.explode(checks.categories(F.col("source"))).alias("category")).groupBy("condition_id", "category").agg(F.count("*").alias("n"))
+
+
+def stable_ids(spark, sf_dir):
+    return segments(spark, sf_dir).select("idx", T.stable_id(F.col("context"), F.col("source"), F.col("idx")).alias("segment_id"))
+
+
+def issue_first(spark, sf_dir):
+    rank = F.expr("CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END")
+    first = _issues(spark, sf_dir).groupBy("idx").agg(F.min(rank).alias("rank"))
+    return first.orderBy("rank", "idx").limit(50)
+
+
+def request_rows(spark, sf_dir):
+    return sampling.request_rows(segments(spark, sf_dir), "run_01")
+
+
+def pending_requests(spark, sf_dir):
+    rows = request_rows(spark, sf_dir)
+    return sampling.pending(rows, rows.where("idx % 4 = 0"))
+
+
+def random_sample(spark, sf_dir):
+    return sampling.random_sample(segments(spark, sf_dir), 50, 42).select("idx", "condition_id", "sample_position")
+
+
+def mixed_sample(spark, sf_dir):
+    return sampling.enriched_sample(segments(spark, sf_dir), _issues(spark, sf_dir), 50, 42).select("idx", "condition_id", "sample_position")
+
+
+def stratified_sample(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumn("categories", checks.categories(F.col("source")))
+    return sampling.stratified_sample(rows, 50, 42).select("idx", "condition_id", "sample_position")
+
+
+def event_severity(spark, sf_dir):
+    """Events as issue facts: their type is the issue type, the user the segment."""
+    e = _table(spark, sf_dir, "events")
+    level = F.expr("CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'minor' ELSE 'info' END")
+    users = e.select("user_id").distinct().agg(F.count("*").alias("checked"))
+    rows = e.withColumn("severity", level).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("affected"), F.sum(stats.points(F.col("severity"), stats.ISSUE_POINTS)).alias("points"))
+    rows = rows.join(F.broadcast(users), F.lit(True))  # one row
+    low, high = stats.wilson(F.col("affected"), F.col("checked"))
+    return rows.select("event_type", "n", "affected", "points", stats.safe_rate(F.col("affected"), F.col("checked")).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def page_tokens(spark, sf_dir):
+    html = F.col("html")
+    return _table(spark, sf_dir, "pages").select("page_id", *(F.size(T.EXTRACTORS[k](html)).cast("long").alias(k) for k in ("html_xml_tag", "raw_tag", "html_xml_entity", "brace_placeholder", "accelerator")))
+
+
+def _glossary(spark, sf_dir) -> DataFrame:
+    """A glossary from the first words of the test items: one, two and three words by turns."""
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " +")
+    words = F.filter(words, lambda w: w != "")
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, (F.col("item_id") % 3 + 1).cast("int")), " ").alias("source_term"))
+    return rows.where("source_term != ''").select((F.col("item_id") + 1).cast("int").alias("entry_pos"), "source_term", F.array("source_term").alias("target_terms"), F.array(F.lit("Öffnen")).alias("forbidden_terms"), F.expr("CASE item_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END").alias("priority"))
+
+
+def _ascii_segments(spark, sf_dir) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select((F.col("doc_id") + 1).alias("idx"), F.col("lang").alias("condition_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9 \n]", " ").alias("source"), F.concat(F.lit("Öffnen "), F.lower("text")).alias("translation"))
+
+
+def glossary_hits(spark, sf_dir):
+    return glossary.hits(_ascii_segments(spark, sf_dir), _glossary(spark, sf_dir), cap=12, raw_too=False, fold=False).select("idx", "condition_id", "entry_pos", "size", "rank")
+
+
+def glossary_issues(spark, sf_dir):
+    s, g = _ascii_segments(spark, sf_dir), _glossary(spark, sf_dir)
+    return glossary.term_checks(s, glossary.hits(s, g, raw_too=False, fold=False), g).groupBy("condition_id", "issue_type", "severity").agg(F.count("*").alias("n"))
+
+
+def term_accuracy(spark, sf_dir):
+    s, g = _ascii_segments(spark, sf_dir), _glossary(spark, sf_dir)
+    return glossary.accuracy(s, glossary.hits(s, g, raw_too=False, fold=False), g)
+
+
+def singular_tokens(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select(F.explode(terms.term_tokens(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), fold=False)).alias("token"))
+    return rows.groupBy("token", terms.singular(F.col("token")).alias("singular")).agg(F.count("*").alias("n"))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    """Turns of a conversation as candidates for its first turn."""
+    t = _table(spark, sf_dir, "conversations").where("text is not null")
+    first = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("source"))
+    rows = t.join(first, "conv_id").withColumn("severity", F.expr("CASE turn % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'minor' ELSE 'info' END"))
+    issues = F.array(F.struct(F.col("severity").alias("severity")))
+    return rows.select("conv_id", F.col("turn").alias("candidate_no"), "source", F.col("text").alias("translation"), (F.col("turn") % 3 == 0).alias("blocking"), candidates.quality(F.col("source"), F.col("text"), issues).alias("quality"))
+
+
+def candidate_quality(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("conv_id", "candidate_no", "blocking", "quality")
+
+
+def best_candidates(spark, sf_dir):
+    return candidates.best_candidate(_candidates(spark, sf_dir), ["conv_id"]).select("conv_id", "candidates", "candidate_no", "quality", "translation")
+
+
+def masked_choice(spark, sf_dir):
+    return candidates.best_candidate(_candidates(spark, sf_dir), ["conv_id"], masked=True).select("conv_id", "candidate_no", "fallback", "translation")
+
+
+def log_statistics(spark, sf_dir):
+    rows = _candidates(spark, sf_dir).groupBy("conv_id").agg(F.collect_list(F.struct("candidate_no", "blocking")).alias("candidates"))
+    log = rows.withColumn("grp", F.col("conv_id") % 5).withColumn("status", F.when(F.col("conv_id") % 7 == 0, "source_fallback").otherwise("ok"))
+    return candidates.log_statistics(log, ["grp"])
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """Replies made from documents: errors by id, some not readable, some with an unknown severity."""
+    level = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Minor' WHEN 1 THEN 'Major' WHEN 2 THEN 'Critical' WHEN 3 THEN 'Severe' ELSE 'Neutral' END")
+    error = F.concat(F.lit('{"category":"Accuracy","severity":"'), level, F.lit('","penalty":99}'))
+    plain = F.concat(F.lit('{"segment_id":"'), F.col("doc_id").cast("string"), F.lit('","acceptability":"acceptable","errors":['), error, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(","), error)).otherwise(""), F.lit("]}"))
+    reply = F.when(F.col("doc_id") % 11 == 0, "no answer").when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).otherwise(plain)
+    docs = _table(spark, sf_dir, "documents")
+    return judge.normalize(docs.select(F.col("lang").alias("condition_id"), (F.col("doc_id") % 3).alias("run"), "doc_id", F.greatest("n_chars", F.lit(1)).alias("source_chars"), reply.alias("reply")))
+
+
+def judge_points(spark, sf_dir):
+    return _judged(spark, sf_dir).select("doc_id", "valid", "points", "score", "warnings")
+
+
+def judge_runs(spark, sf_dir):
+    return judge.run_scores(_judged(spark, sf_dir), ["condition_id", "run"])
+
+
+def judge_errors(spark, sf_dir):
+    return judge.error_counts(_judged(spark, sf_dir), ["condition_id"])
+
+
+def judge_repeats(spark, sf_dir):
+    return metrics.run_summary(judge_runs(spark, sf_dir), ["condition_id"], "weighted_score")
+
+
+def judge_status(spark, sf_dir):
+    rows = judge_runs(spark, sf_dir).withColumn("planned", F.col("valid_n") + F.col("failed_n") + F.col("run"))
+    return rows.select("condition_id", "run", judge.status(F.col("valid_n"), F.col("failed_n"), F.col("planned")).alias("status"))
+
+
+def mask_skeletons(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumn("spans", candidates.mask_spans(F.col("source")))
+    skeleton = candidates.skeleton(F.col("source"), F.col("spans"))
+    return rows.select("idx", F.size("spans").alias("n_spans"), skeleton.alias("skeleton"), (candidates.assemble(skeleton, F.col("spans")) == F.col("source")).alias("restored"))
+
+
+def number_tokens(spark, sf_dir):
+    return segments(spark, sf_dir).select("idx", F.array_join(T.number_tokens(F.col("source")), " ").alias("numbers"))
+
+
+_NAMES = (
+    "token_counts issue_rows issue_type_counts structure_scores structure_average first_window_scores deterministic_summary failed_segments failed_summary "
+    "condition_comparison structure_pivot best_and_worst labelled_union profile_severities message_categories stable_ids issue_first request_rows "
+    "pending_requests random_sample mixed_sample stratified_sample event_severity page_tokens glossary_hits glossary_issues term_accuracy "
+    "singular_tokens candidate_quality best_candidates masked_choice log_statistics judge_points judge_runs judge_errors judge_repeats judge_status "
+    "mask_skeletons number_tokens"
+).split()
+QUERIES = {name: globals()[name] for name in _NAMES}
+
+
+# SQL for DuckDB. Its regular expressions have no look-around, so numbers are split on what may not touch them.
+def _extract(column: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({column}, '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
+
+
+def _tokens(kind: str, c: str) -> str:
+    if kind == "qt_placeholder":
+        return _extract(c, T.QT)
+    if kind == "brace_placeholder":
+        return _extract(c, T.BRACE)
+    if kind == "printf_placeholder":
+        return f"list_filter({_extract(c, T.PRINTF)}, lambda t: NOT regexp_full_match(t, '{T.QT}'))"
+    if kind == "html_xml_entity":
+        return f"list_filter({_extract(c, T.ENTITY)}, lambda t: t IN {T.CHECKED_ENTITIES})"
+    if kind == "html_xml_tag":
+        return f"list_filter(list_transform({_extract(c, T.TAG, 1)}, lambda t: lower(t)), lambda t: t IN {tuple(T.HTML_TAGS)})"
+    if kind == "number":
+        free = f"regexp_replace({c}, '[\\pL_%][\\pL\\pN_%]*|[\\pN]+[.,]?[\\pN]*[\\pL_%][\\pL\\pN_%]*', ' ', 'g')"
+        return _extract(free, "[-+]?[0-9]+(?:[.,][0-9]+)?")
+    if kind == "accelerator":
+        return f"list_filter({_extract(c, '&&|' + T.ENTITY + '|&[^ \\t\\r\\n\\f\\v]|&')}, lambda t: t <> '&&' AND NOT regexp_full_match(t, '{T.ENTITY}'))"
+    return _extract(c, {"escaped_control": T.ESCAPED_CONTROL, "raw_tag": T.RAW_TAG}[kind])
+
+
+def _less(a: str, b: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: greatest(0, len(list_filter({a}, lambda y: y = x)) - len(list_filter({b}, lambda y: y = x))))), 0)::BIGINT"
+
+
+_S = f"s AS ({_SEGMENTS.format(S='VARCHAR')})"
+_NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+def _issue_sql(profile: str = "evaluator", name: str = "i") -> str:
+    rules, kinds = checks.PROFILES[profile], [*checks.GROUPS[:6], "accelerator"]
+    if rules["controls"]:
+        kinds.append("escaped_control")
+    cols = ", ".join(f"{_tokens(k, c)} AS {c[0]}_{k}" for k in kinds for c in ("source", "translation"))
+    s, t = _NORM.format("source"), _NORM.format("translation")
+    parts = [
+        ("empty_translation", "critical", 1, f"{t} = ''", "0"),
+        ("unfinished_translation", "major", 2, "translation_type = 'unfinished'", "0"),
+        ("missing_translation_element", "critical", 3, "translation_type = 'missing_translation_element'", "0"),
+        ("possibly_untranslated", "major", 4, f"{s} = {t} AND {s} <> '' AND NOT regexp_full_match({s}, '{T.COPY_OK}')", "0"),
+        ("bilingual_residue", "major", 5, " OR ".join(f"starts_with({t}, {s} || ' {d}')" for d in "-–—"), "0"),
+    ]
+    at = 10
+    for k in kinds:
+        if k == "accelerator":
+            continue
+        missing, extra = ("major", "minor") if k == "number" else ("major", "major") if k == "escaped_control" else rules["entity" if k.startswith("html") else "placeholder"]
+        for word, level, a, b in (("missing", missing, "s", "t"), ("extra", extra, "t", "s")):
+            n = _less(f"{a}_{k}", f"{b}_{k}")
+            parts.append((f"{word}_{k}", level, at, f"{n} > 0", n))
+            at += 1
+    parts.append(("newline_count_mismatch", "minor", 30, "length(source) - length(replace(source, chr(10), '')) <> length(translation) - length(replace(translation, chr(10), ''))", "0"))
+    n = f"{_less('s_accelerator', 't_accelerator')} + {_less('t_accelerator', 's_accelerator')}"
+    parts.append(("accelerator_count_mismatch", "minor", 31, f"{n} > 0", n))
+    rows = " UNION ALL ".join(f"SELECT idx, condition_id, {o} AS check_ordinal, '{k}' AS issue_type, '{lv}' AS severity, {n} AS n_tokens FROM {name}_t WHERE {w}" for k, lv, o, w, n in parts)
+    return f"{name}_t AS MATERIALIZED (SELECT *, {cols} FROM s), {name} AS ({rows})"
+
+
+_I = f"{_S}, {_issue_sql()}"
+_GROUP = "CASE " + " ".join(f"WHEN issue_type IN ('missing_{g}', 'extra_{g}') THEN '{g}'" for g in checks.GROUPS[:6]) + " WHEN issue_type = 'newline_count_mismatch' THEN 'newline' WHEN issue_type = 'accelerator_count_mismatch' THEN 'accelerator'" + f" WHEN issue_type IN {checks.COMPLETION} THEN 'completion_state' WHEN issue_type IN {checks.CONTENT} THEN 'content_or_terminology' ELSE 'other_structure' END"
+
+
+def _wilson_sql(k: str, n: str, sign: str) -> str:
+    m, z = f"greatest({n}, 1)::DOUBLE", "1.96::DOUBLE"
+    p, zz = f"({k}::DOUBLE / {m})", f"({z} * {z})"
+    d = f"(1 + {zz} / {m})"
+    body = f"({p} + {zz} / (2 * {m})) / {d} {sign} {z} * sqrt({p} * (1 - {p}) / {m} + {zz} / (4 * {m} * {m})) / {d}"
+    return f"CASE WHEN {n} > 0 THEN {'greatest(' + body + ', 0)' if sign == '-' else 'least(' + body + ', 1)'} ELSE 0 END"
+
+
+def _scores_sql(limit: str = "") -> str:
+    where = f"WHERE idx BETWEEN 1 AND {limit}" if limit else ""
+    groups = ", ".join(f"'{g}'" for g in checks.GROUPS)
+    return f"""c AS (SELECT condition_id, count(*) AS checked FROM s {where} GROUP BY 1),
+ g AS (SELECT condition_id, checked, unnest([{groups}]) AS item FROM c),
+ h AS (SELECT condition_id, {_GROUP} AS item, count(DISTINCT idx) AS affected, count(*) AS issues FROM i {where} GROUP BY 1, 2),
+ z AS (SELECT g.condition_id, g.item, checked, coalesce(affected, 0) AS affected, coalesce(issues, 0) AS issues FROM g LEFT JOIN h USING (condition_id, item)),
+ sc AS (SELECT *, 100.0::DOUBLE * (1 - affected::DOUBLE / checked) AS score, 100 * {_wilson_sql('affected', 'checked', '-')} AS low_pct, 100 * {_wilson_sql('affected', 'checked', '+')} AS high_pct FROM z)"""
+
+
+_POINTS = "CASE severity WHEN 'critical' THEN 12.0 WHEN 'major' THEN 5.0 WHEN 'minor' THEN 1.5 ELSE 0.0 END::DOUBLE"
+_SUMMARY = f"""zc AS (SELECT condition_id, count(*) AS messages, sum(greatest(length(source), 1))::BIGINT AS chars FROM s GROUP BY 1),
+ ic AS (SELECT condition_id, count(*) AS issues, sum({_POINTS}) AS points, count(DISTINCT idx) AS affected, count(*) FILTER (severity = 'critical' OR issue_type IN {metrics.BLOCKING}) AS blocking,
+ {', '.join(f"count(DISTINCT CASE WHEN starts_with(issue_type, '{p}') THEN idx END) AS _{n}" for n, p in (('placeholder', 'missing_qt_placeholder'), ('brace', 'missing_brace_placeholder'), ('tag', 'missing_html_xml_tag'), ('entity', 'missing_html_xml_entity')))} FROM i GROUP BY 1),
+ su AS (SELECT condition_id, messages, chars, coalesce(issues, 0) AS issues, coalesce(points, 0) AS points, coalesce(affected, 0) AS affected, coalesce(blocking, 0) AS blocking,
+ coalesce(points, 0) / chars * 1000 AS points_per_1000, greatest(0, 100 - coalesce(points, 0) / chars * 1000) AS deterministic_score, greatest(0, 100 - 10 * coalesce(points, 0) / messages) AS segment_score,
+ coalesce(affected, 0)::DOUBLE / messages AS affected_rate, {', '.join(f'1 - coalesce(_{n}, 0)::DOUBLE / messages AS {n}_kept' for n in ('placeholder', 'brace', 'tag', 'entity'))} FROM zc LEFT JOIN ic USING (condition_id))"""
+_FAILED = f"fa AS (SELECT condition_id, idx, {_GROUP} AS item, string_agg(issue_type, '; ' ORDER BY check_ordinal) AS issue_types, string_agg(severity, '; ' ORDER BY check_ordinal) AS severities, count(*) AS n FROM i GROUP BY 1, 2, 3 HAVING {_GROUP} IN {checks.GROUPS})"
+_REQ = "rq AS (SELECT condition_id, idx, (row_number() OVER (PARTITION BY condition_id ORDER BY idx))::INT AS sample_position FROM s), rk AS (SELECT *, 'run_01:' || printf('%03d', sample_position) || ':' || condition_id || ':' || idx AS request_key FROM rq)"
+_CAND = f"""t AS (SELECT * FROM conversations WHERE text IS NOT NULL), f AS (SELECT conv_id, arg_min(text, turn) AS source FROM t GROUP BY 1),
+ q AS (SELECT t.conv_id, turn AS candidate_no, source, text AS translation, turn % 3 = 0 AS blocking,
+ CASE turn % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 1.0 ELSE 0.0 END::DOUBLE + 2.0 * len(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+.#-]{{2,}}'), lambda w: w NOT IN {tuple(candidates.ALLOWED_LATIN)} AND w <> upper(w)))
+ + 3.0 * CASE WHEN length({_NORM.format('text')})::DOUBLE / greatest(length({_NORM.format('source')}), 1) BETWEEN 0.25 AND 2.8 THEN 0 ELSE abs(length({_NORM.format('text')})::DOUBLE / greatest(length({_NORM.format('source')}), 1) - 1) END AS quality
+ FROM t JOIN f ON t.conv_id = f.conv_id)"""
+_JUDGE = """j0 AS (SELECT doc_id, lang AS condition_id, doc_id % 3 AS run, greatest(n_chars, 1) AS source_chars, doc_id % 11 <> 0 AS valid, 1 + (doc_id % 2 = 0)::INT AS n,
+ CASE doc_id % 5 WHEN 0 THEN 'Minor' WHEN 1 THEN 'Major' WHEN 2 THEN 'Critical' ELSE 'Neutral' END AS severity, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 25 ELSE 0 END::DOUBLE AS one, doc_id % 5 = 3 AS odd FROM documents),
+ j AS (SELECT *, CASE WHEN valid THEN n * one END AS points, CASE WHEN valid THEN greatest(0, 100 - 4 * n * one) END AS score, CASE WHEN valid AND odd THEN n ELSE 0 END AS warnings FROM j0),
+ r0 AS (SELECT condition_id, run, count(*) FILTER (valid) AS valid_n, count(*) FILTER (NOT valid) AS failed_n, sum(points) AS points, sum(CASE WHEN valid THEN source_chars END)::BIGINT AS chars, avg(score) AS mean_score FROM j GROUP BY 1, 2),
+ r AS (SELECT *, points / chars * 1000 AS points_per_1000, greatest(0, 100 - points / chars * 1000) AS weighted_score FROM r0)"""
+_SINGULAR = "CASE WHEN length({0}) > 5 AND {0} LIKE '%ies' THEN left({0}, -3) || 'y' WHEN length({0}) > 4 AND ({0} LIKE '%ches' OR {0} LIKE '%shes' OR {0} LIKE '%xes' OR {0} LIKE '%zes') THEN left({0}, -2) WHEN length({0}) > 3 AND {0} LIKE '%s' AND NOT ({0} LIKE '%ss' OR {0} LIKE '%us' OR {0} LIKE '%is') THEN left({0}, -1) ELSE {0} END"
+_GLOSS = f"""ge AS (SELECT (item_id + 1)::INT AS entry_pos, list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda w: w <> ''), 1, item_id % 3 + 1) AS tk, CASE item_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority FROM benchmark),
+ gk AS (SELECT entry_pos, priority, array_to_string(tk, ' ') AS term, array_to_string(list_transform(tk, lambda w: {_SINGULAR.format('w')}), ' ') AS key, len(tk)::INT AS size FROM ge WHERE len(tk) > 0),
+ se AS (SELECT doc_id + 1 AS idx, lang AS condition_id, 'Öffnen ' || lower(text) AS translation, list_transform(regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9 \\n]', ' ', 'g'), '[a-z0-9]+'), lambda w: {_SINGULAR.format('w')}) AS tk FROM documents),
+ gr AS (SELECT DISTINCT idx, condition_id, size, unnest(list_transform(range(1, len(tk) - size + 2), lambda p: array_to_string(list_slice(tk, p, p + size - 1), ' '))) AS key FROM se, (SELECT DISTINCT size FROM gk) WHERE len(tk) >= size),
+ hi AS (SELECT DISTINCT gr.idx, gr.condition_id, entry_pos, gk.size, priority, term FROM gr JOIN gk ON gr.key = gk.key AND gr.size = gk.size),
+ ht AS (SELECT hi.*, contains(translation, term) AS ok, contains(translation, 'Öffnen') AS bad FROM hi JOIN se USING (idx, condition_id))"""
+
+ORACLES = {
+    "token_counts": f"WITH {_S} SELECT condition_id, {', '.join(f'sum(len({_tokens(k, c)}))::BIGINT AS {c}_{k}' for k in ('qt_placeholder', 'brace_placeholder', 'printf_placeholder', 'html_xml_entity', 'html_xml_tag', 'accelerator', 'escaped_control', 'raw_tag') for c in ('source', 'translation'))}, sum(len(regexp_extract_all(translation, '[A-Za-z]')))::BIGINT AS latin, sum(length(translation) - length(replace(translation, chr(10), '')))::BIGINT AS newlines FROM s GROUP BY 1",
+    "issue_rows": f"WITH {_I} SELECT idx, condition_id, issue_type, severity, n_tokens::BIGINT AS n_tokens FROM i",
+    "issue_type_counts": f"""WITH {_I}, c AS (SELECT condition_id, count(*) AS checked FROM s GROUP BY 1) SELECT i.condition_id, {_GROUP} AS issue_group, issue_type, count(*) AS issues, count(DISTINCT idx) AS segments, count(DISTINCT idx)::DOUBLE / any_value(checked) AS segment_rate, '{{"' || min(severity) || '":' || count(*) || '}}' AS severities FROM i JOIN c USING (condition_id) GROUP BY ALL""",
+    "structure_scores": f"WITH {_I}, {_scores_sql()} SELECT * FROM sc",
+    "structure_average": f"WITH {_I}, {_scores_sql()} SELECT condition_id, sum(score) AS score_sum, avg(score) AS score_avg, count(*) AS items FROM sc GROUP BY 1",
+    "first_window_scores": f"WITH {_I}, {_scores_sql('100')} SELECT * FROM sc",
+    "deterministic_summary": f"WITH {_I}, {_SUMMARY} SELECT * FROM su",
+    "failed_segments": f"WITH {_I}, {_FAILED} SELECT * FROM fa",
+    "failed_summary": f"WITH {_I}, {_FAILED}, x AS (SELECT condition_id, unnest(string_split(issue_types, '; ')) AS issue_type FROM fa) SELECT condition_id, issue_type, count(*) AS n FROM x GROUP BY 1, 2",
+    "condition_comparison": f"""WITH {_I}, {_scores_sql()}, {_SUMMARY}, fl AS (SELECT condition_id, avg(score) AS score_avg, max(affected::DOUBLE / checked) AS failed_rate FROM sc GROUP BY 1), fd AS (SELECT fl.*, deterministic_score FROM fl JOIN su USING (condition_id))
+ SELECT r.condition_id AS ref_condition_id, x.condition_id, r.score_avg - x.score_avg AS delta_score, r.deterministic_score - x.deterministic_score AS delta_deterministic, x.failed_rate - r.failed_rate AS reduction, CASE WHEN x.failed_rate > 0 THEN (x.failed_rate - r.failed_rate) / x.failed_rate WHEN r.failed_rate = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS relative_reduction FROM fd x, fd r WHERE r.condition_id = 'en' AND x.condition_id <> 'en'""",
+    "structure_pivot": f"WITH {_I}, {_scores_sql()} SELECT condition_id, {', '.join(f'''max(score) FILTER (item = '{g}') AS {g}''' for g in checks.GROUPS)} FROM sc GROUP BY 1",
+    "best_and_worst": f"WITH {_I}, {_scores_sql()}, k AS (SELECT condition_id, item, score, (row_number() OVER (PARTITION BY condition_id ORDER BY score DESC, item))::INT AS best, (row_number() OVER (PARTITION BY condition_id ORDER BY score, item))::INT AS worst FROM sc) SELECT * FROM k WHERE best <= 3 OR worst <= 3",
+    "labelled_union": f"WITH {_I}, {_issue_sql('judge', 'jj')}, {_SUMMARY} SELECT 'all' AS experiment, condition_id, messages, issues, NULL::BIGINT AS critical FROM su UNION ALL SELECT 'judge', condition_id, NULL, NULL, count(*) FILTER (severity = 'critical') FROM jj GROUP BY condition_id",
+    "profile_severities": f"WITH {_S}, {', '.join(_issue_sql(p, p) for p in checks.PROFILES)} " + " UNION ALL ".join(f"SELECT severity, count(*) AS n, '{p}' AS profile FROM {p} GROUP BY 1" for p in checks.PROFILES),
+    "stable_ids": f"WITH {_S} SELECT idx, 'seg_' || printf('%06d', idx) || '_' || left(sha1(context || '␟' || source || '␟' || idx), 12) AS segment_id FROM s",
+    "issue_first": f"WITH {_I} SELECT idx, min(CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END)::INT AS rank FROM i GROUP BY 1 ORDER BY 2, 1 LIMIT 50",
+    "request_rows": f"WITH {_S}, {_REQ} SELECT condition_id, idx, sample_position, request_key FROM rk",
+    "pending_requests": f"WITH {_S}, {_REQ} SELECT condition_id, idx, sample_position, request_key FROM rk WHERE idx % 4 <> 0",
+    "event_severity": f"WITH e AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' WHEN 2 THEN 'minor' ELSE 'info' END AS severity FROM events), g AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS affected, sum({_POINTS}) AS points, (SELECT count(DISTINCT user_id) FROM events) AS checked FROM e GROUP BY 1) SELECT event_type, n, affected, points, affected::DOUBLE / checked AS rate, {_wilson_sql('affected', 'checked', '-')} AS low, {_wilson_sql('affected', 'checked', '+')} AS high FROM g",
+    "page_tokens": f"SELECT page_id, {', '.join(f'len({_tokens(k, chr(104) + chr(116) + chr(109) + chr(108))})::BIGINT AS {k}' for k in ('html_xml_tag', 'raw_tag', 'html_xml_entity', 'brace_placeholder', 'accelerator'))} FROM pages",
+    "glossary_hits": f"WITH {_GLOSS}, k AS (SELECT idx, condition_id, entry_pos, size, (row_number() OVER (PARTITION BY condition_id, idx ORDER BY size DESC, entry_pos))::INT AS rank FROM hi) SELECT * FROM k WHERE rank <= 12",
+    "glossary_issues": f"WITH {_GLOSS}, x AS (SELECT condition_id, 'forbidden_term' AS issue_type, CASE priority WHEN 'high' THEN 'major' ELSE 'minor' END AS severity FROM ht WHERE bad UNION ALL SELECT condition_id, 'glossary_target_missing', CASE priority WHEN 'high' THEN 'major' WHEN 'medium' THEN 'minor' ELSE 'info' END FROM ht WHERE NOT ok) SELECT condition_id, issue_type, severity, count(*) AS n FROM x GROUP BY 1, 2, 3",
+    "term_accuracy": f"WITH {_GLOSS} SELECT condition_id, count(*) AS hits, count(*) FILTER (ok) AS good, count(*) FILTER (ok)::DOUBLE / count(*) AS accuracy FROM ht GROUP BY 1",
+    "singular_tokens": f"WITH w AS (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), '[a-z0-9]+')) AS token FROM benchmark) SELECT token, {_SINGULAR.format('token')} AS singular, count(*) AS n FROM w GROUP BY 1, 2",
+    "candidate_quality": f"WITH {_CAND} SELECT conv_id, candidate_no, blocking, quality FROM q",
+    "best_candidates": f"WITH {_CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY quality, candidate_no) AS rn, count(*) OVER (PARTITION BY conv_id) AS candidates FROM q) SELECT conv_id, candidates, candidate_no, quality, translation FROM k WHERE rn = 1",
+    "masked_choice": f"WITH {_CAND}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY blocking, quality, candidate_no) AS rn FROM q) SELECT conv_id, CASE WHEN NOT blocking THEN candidate_no END AS candidate_no, blocking AS fallback, CASE WHEN blocking THEN source ELSE translation END AS translation FROM k WHERE rn = 1",
+    "log_statistics": f"WITH {_CAND}, l AS (SELECT conv_id, conv_id % 5 AS grp, count(*) AS n, count(*) FILTER (NOT blocking) AS ok FROM q GROUP BY 1) SELECT grp, count(*) AS rows, count(*) FILTER (conv_id % 7 = 0) AS fallbacks, sum(n)::BIGINT AS candidates, sum(ok)::BIGINT AS valid, avg(n) AS avg_candidates, avg(ok) AS avg_valid, count(*) FILTER (ok = 0) AS rows_without_valid FROM l GROUP BY 1",
+    "judge_points": f"WITH {_JUDGE} SELECT doc_id, valid, points, score, warnings FROM j",
+    "judge_runs": f"WITH {_JUDGE} SELECT * FROM r",
+    "judge_errors": f"WITH {_JUDGE} SELECT condition_id, 'Accuracy' AS category, severity, sum(n)::BIGINT AS n FROM j WHERE valid GROUP BY 1, 3",
+    "judge_repeats": f"WITH {_JUDGE}, m AS (SELECT condition_id, count(weighted_score) AS runs, avg(weighted_score) AS mean, coalesce(stddev_samp(weighted_score), 0) AS sd FROM r GROUP BY 1) SELECT *, greatest(0, mean - 1.96 * sd / sqrt(runs)) AS low, least(100, mean + 1.96 * sd / sqrt(runs)) AS high FROM m",
+    "judge_status": f"WITH {_JUDGE} SELECT condition_id, run, CASE WHEN valid_n + failed_n + run = 0 THEN 'not_run' WHEN valid_n + failed_n = 0 THEN 'error' WHEN valid_n = 0 THEN 'failed' WHEN run > 0 THEN 'batch_pending' ELSE 'scored' END AS status FROM r",
+}
