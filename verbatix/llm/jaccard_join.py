@@ -44,7 +44,7 @@ ORDER_LIMIT = 1 << 19
 COUNT_BATCH = 1 << 20
 #: A set of ids of at most so many rows is broadcast (8 bytes each), else the join shuffles.
 BROADCAST_ROWS = 1 << 20
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 SKETCH_WORDS = 8
 SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
 
@@ -159,11 +159,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents are linked where 100 |A & B| >= percent |A | B|."""
     order = repeated_shingles(docs, n)
-    rows = common.materialize(prefix_rows(docs, n, percent, order))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("cid"))
+    prefixed = common.materialize(prefix_rows(docs, n, percent, order))
+    classes = prefixed.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("cid"))
     classes = common.materialize(classes)
     # A class's prefix stands with the document that names it; only that row of the copies is kept.
-    named = rows.select("doc_id", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
+    named = prefixed.select("doc_id", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
     grouped = common.materialize(named.select("cid", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]))
     groups = grouped.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     heads = grouped.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi")
@@ -172,6 +172,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     posting = entries.join(shared, "shingle", "left_semi").select("shingle", "gid", "n", "place")
     # A group of several classes is a list of its own, so that its members meet too.
     own = groups.where("members > 1").select(F.col("gid").alias("shingle"), "gid").join(heads.select("gid", "n"), "gid").select("shingle", "gid", "n", F.lit(0).alias("place"))
+    rows = common.materialize(prefixed.select("doc_id", "n", "sig1", "sig2"))
+    common.drop_shared(docs.sparkSession, prefixed)  # prefixes live on in ``grouped``
     lists = posting.unionByName(own).join(grouped.select("gid", "cid"), "gid")
     lists = common.materialize(lists.select("shingle", "cid", "n", "place"))
 
@@ -182,10 +184,13 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     texts = texts.dropDuplicates(["cid"]) if rows.where("doc_id is not null").count() > rows.select("doc_id").distinct().where("doc_id is not null").count() else texts
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(place, spot) + 1 + least(n - place - 1, m - spot - 1) >= ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
+    # The class whose lists are the fullest is the middle of its family; it leads first.
+    lengths = lists.groupBy("shingle").agg(F.count("*").alias("k"))
+    weights = common.materialize(lists.join(lengths, "shingle").groupBy("cid").agg(F.sum("k").alias("weight")))
     labels, tried = None, None
     for k in range(STAR_ROUNDS):
-        now = lists.withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
-        rank = F.xxhash64("cid", F.lit(k))
+        now = lists.join(weights, "cid").withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
+        rank = F.struct(-F.col("weight"), F.xxhash64("cid")) if labels is None else F.struct(F.lit(0), F.xxhash64("cid", F.lit(k)))
         lead = now.groupBy("shingle").agg(F.min(F.struct(rank, "cid", "label", F.col("n").alias("m"), F.col("place").alias("spot"))).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         lead = lead.select("shingle", F.col("l.cid").alias("other"), F.col("l.label").alias("its"), F.col("l.m").alias("m"), F.col("l.spot").alias("spot"))
         stars = now.join(lead, "shingle").where(f"label != its and {fits}").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
@@ -201,12 +206,14 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
         main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
         main = common.materialize(main.select("shingle", F.col("top.label").alias("main")))
-        open_lists = common.materialize(now.join(main, "shingle").join(grouped.select("cid", *SKETCH), "cid"))
-        outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
+        open_lists = common.materialize(now.join(main, "shingle").join(grouped.select("cid", "gid", "prefix", *SKETCH), "cid"))
+        outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prefix").alias("vprefix"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
         # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
         close = f"{' + '.join(f'bit_count({c} ^ v{c})' for c in SKETCH)} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
+        # A pair counts in the list of its first common shingle only (or in that of its group).
+        once = "(shingle = gid or shingle = element_at(array_intersect(prefix, vprefix), 1))"
         # Between two classes outside the main component the smaller id asks, else both would.
-        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and {close}")
+        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and {close} and {once}")
         rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
         labels = components(common.materialize(_verify(rest, texts, n, percent)), labels)
