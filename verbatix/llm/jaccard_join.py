@@ -46,6 +46,8 @@ COUNT_BATCH = 1 << 20
 BROADCAST_ROWS = 1 << 20
 STAR_ROUNDS = 4
 SKETCH_WORDS = 8
+#: From so many classes on, a posting list filters pairs by sketches and first common shingles.
+LONG_LIST = 24
 SKETCH = [f"w{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -204,16 +206,21 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     if labels is not None:
         now = common.materialize(_labelled(lists, labels))
         sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-        main = common.materialize(main.select("shingle", F.col("top.label").alias("main")))
-        open_lists = common.materialize(now.join(main, "shingle").join(grouped.select("cid", "gid", "prefix", *SKETCH), "cid"))
+        main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("length")).where("labels > 1")
+        main = common.materialize(main.select("shingle", F.col("top.label").alias("main"), "length"))
+        # Only long lists carry prefixes and sketches; in a short one a null means that the filter passes.
+        held = grouped.select("cid", "gid", "prefix", *SKETCH)
+        opened = now.select("shingle", "cid", "n", "place", "label").join(main, "shingle")
+        long_ones = opened.where(F.col("length") >= LONG_LIST).join(held, "cid").drop("length")
+        short_ones = opened.where(F.col("length") < LONG_LIST).drop("length")
+        open_lists = common.materialize(long_ones.unionByName(short_ones, allowMissingColumns=True))
         outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prefix").alias("vprefix"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
         # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
         close = f"{' + '.join(f'bit_count({c} ^ v{c})' for c in SKETCH)} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
         # A pair counts in the list of its first common shingle only (or in that of its group).
         once = "(shingle = gid or shingle = element_at(array_intersect(prefix, vprefix), 1))"
         # Between two classes outside the main component the smaller id asks, else both would.
-        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and {close} and {once}")
+        rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and coalesce({close} and {once}, true)")
         rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
         labels = components(common.materialize(_verify(rest, texts, n, percent)), labels)
