@@ -26,7 +26,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
-    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_poisson_mix": mixing.ORACLE,
     "op5_topk_search": topk_search.ORACLE,
 }
