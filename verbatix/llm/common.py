@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 512 << 10
 #: Rows in an Arrow batch between the JVM and Python, so that a batch stays near 2 MB of text.
 BATCH_ROWS = 500
+#: Rows in a file of a small table between steps, and how many files one has at least.
+FILE_ROWS, LEAST_FILES = 20_000, 8
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,10 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/verbatix/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def materialize(df: DataFrame, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    ``rows`` tells about how many rows come; a small table then has few files, a large
+    one as many as its last shuffle has partitions.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if rows is not None and (files := max(LEAST_FILES, -(-rows // FILE_ROWS))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -45,6 +45,8 @@ COUNT_BATCH = 1 << 20
 #: A set of ids of at most so many rows is broadcast (8 bytes each), else the join shuffles.
 BROADCAST_ROWS = 1 << 20
 STAR_ROUNDS = 4
+#: Rows of posting lists that a document has, roughly; only the number of files follows from it.
+LIST_ROWS = 16
 SKETCH_WORDS = 8
 #: From so many classes on, a posting list filters pairs by sketches and first common shingles.
 LONG_LIST = 24
@@ -163,10 +165,12 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     order = repeated_shingles(docs, n)
     prefixed = common.materialize(prefix_rows(docs, n, percent, order))
     classes = prefixed.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("cid"))
-    classes = common.materialize(classes)
+    total = prefixed.count()
+    many = LIST_ROWS * total  # about so many rows have all posting lists
+    classes = common.materialize(classes, rows=total)
     # A class's prefix stands with the document that names it; only that row of the copies is kept.
     named = prefixed.select("doc_id", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
-    grouped = common.materialize(named.select("cid", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]))
+    grouped = common.materialize(named.select("cid", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]), rows=many)
     groups = grouped.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     heads = grouped.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi")
     entries = heads.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
@@ -177,9 +181,9 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rows = common.materialize(prefixed.select("doc_id", "n", "sig1", "sig2"))
     common.drop_shared(docs.sparkSession, prefixed)  # prefixes live on in ``grouped``
     lists = posting.unionByName(own).join(grouped.select("gid", "cid"), "gid")
-    lists = common.materialize(lists.select("shingle", "cid", "n", "place"))
+    lists = common.materialize(lists.select("shingle", "cid", "n", "place"), rows=many)
 
-    wanted = common.materialize(lists.select("cid").distinct())
+    wanted = common.materialize(lists.select("cid").distinct(), rows=total)
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
     few = wanted.count() <= BROADCAST_ROWS  # the bound of what is broadcast
     texts = common.materialize(texts.join(F.broadcast(wanted) if few else wanted, "cid", "left_semi"))
@@ -188,7 +192,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(place, spot) + 1 + least(n - place - 1, m - spot - 1) >= ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
     # The class whose lists are the fullest is the middle of its family; it leads first.
     lengths = lists.groupBy("shingle").agg(F.count("*").alias("k"))
-    weights = common.materialize(lists.join(lengths, "shingle").groupBy("cid").agg(F.sum("k").alias("weight")))
+    weights = common.materialize(lists.join(lengths, "shingle").groupBy("cid").agg(F.sum("k").alias("weight")), rows=total)
     labels, tried = None, None
     for k in range(STAR_ROUNDS):
         now = lists.join(weights, "cid").withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
@@ -196,24 +200,24 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         lead = now.groupBy("shingle").agg(F.min(F.struct(rank, "cid", "label", F.col("n").alias("m"), F.col("place").alias("spot"))).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         lead = lead.select("shingle", F.col("l.cid").alias("other"), F.col("l.label").alias("its"), F.col("l.m").alias("m"), F.col("l.spot").alias("spot"))
         stars = now.join(lead, "shingle").where(f"label != its and {fits}").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-        stars = common.materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        stars = common.materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), rows=many)
         if not stars.limit(1).count():
             break
         tried = stars if tried is None else tried.unionByName(stars)
-        found = common.materialize(_verify(stars, texts, n, percent))
-        labels = components(found, labels)
+        found = common.materialize(_verify(stars, texts, n, percent), rows=many)
+        labels = components(found, labels, total)
 
     if labels is not None:
-        now = common.materialize(_labelled(lists, labels))
+        now = common.materialize(_labelled(lists, labels), rows=many)
         sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
         main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("length")).where("labels > 1")
-        main = common.materialize(main.select("shingle", F.col("top.label").alias("main"), "length"))
+        main = common.materialize(main.select("shingle", F.col("top.label").alias("main"), "length"), rows=many)
         # Only long lists carry prefixes and sketches; in a short one a null means that the filter passes.
         held = grouped.select("cid", "gid", "prefix", *SKETCH)
         opened = now.select("shingle", "cid", "n", "place", "label").join(main, "shingle")
         long_ones = opened.where(F.col("length") >= LONG_LIST).join(held, "cid").drop("length")
         short_ones = opened.where(F.col("length") < LONG_LIST).drop("length")
-        open_lists = common.materialize(long_ones.unionByName(short_ones, allowMissingColumns=True))
+        open_lists = common.materialize(long_ones.unionByName(short_ones, allowMissingColumns=True), rows=many)
         outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prefix").alias("vprefix"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
         # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
         close = f"{' + '.join(f'bit_count({c} ^ v{c})' for c in SKETCH)} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
@@ -222,8 +226,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
         # Between two classes outside the main component the smaller id asks, else both would.
         rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and coalesce({close} and {once}, true)")
         rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-        rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-        labels = components(common.materialize(_verify(rest, texts, n, percent)), labels)
+        rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), rows=many)
+        labels = components(common.materialize(_verify(rest, texts, n, percent), rows=many), labels, total)
         classes = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("cid", F.coalesce("label", "cid")).drop("label")
     out = rows.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cid", "doc_id").alias("component_id"))
