@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ MAGIC = b"VDAC1\0"
 SEGMENT_IDS = 1 << 18
 #: Distinct text pieces whose ids a worker keeps; beyond that the cache starts anew.
 CACHE = 400_000
+#: New pieces that are encoded in one call.
+JOINED = 2000
+#: Texts with white space at an end or beside other white space, or with the mark of a cut.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+ODD = rf"{_WHITE}{_WHITE}|\A{_WHITE}|{_WHITE}\z|\x1f"
+#: Where a text may be cut: before a mark that follows a letter, a space or a line feed.
+CUT = r"([A-Za-z])([.,;:!?*#$%&])|([ \n])"
 
 SCHEMA = "shard int, segment int, first long, n_tokens long, docs array<struct<doc_id:long,first:long,n_tokens:long>>, payload binary"
 
@@ -116,9 +124,10 @@ class Encoder:
     """Encodes texts with a tokenizer file, remembering the ids of text pieces.
 
     The byte-level tokenizer always begins a new pre-token at a single space
-    between two characters that are not white space, makes a single line feed
-    there a pre-token of its own, and parts a letter from punctuation after it.
-    So the pieces between can be encoded alone, and equal pieces need it once.
+    between two characters that are not white space, and makes a single line feed
+    there a pre-token of its own, and parts a letter from a punctuation mark after it.
+    So the pieces between can be encoded alone, equal pieces need it once, and new pieces joined by line feeds need one call. Texts with
+    other white space are cut only at such single spaces.
     """
 
     def __init__(self, path: str):
@@ -129,53 +138,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}  # by piece, for pieces after no space
-        self.rest: dict[str, bytes] = {}  # by piece without the space before it
-        self.odd, self.cut = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
-        self.mark = re.compile(r"(.*[A-Za-z])([.,;:!?*#$%&]+)", re.DOTALL)
-        self.line = self._ids(["\n"])[0]
+        self.known: dict[str, bytes] = {}  # by piece, with the space or line feed before it
+        self.cut = re.compile(r"(?<=\S)(?= \S)")
+        self.line = np.frombuffer(self._ids(["\n"])[0], "<u4")
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(parts), 2000):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts[at : at + 2000], add_special_tokens=False)]
-        return out
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        """Ids of new pieces; punctuation at a piece's end is encoded apart, so that more pieces are alike."""
-        split = {x: m.groups() for x in pieces if (m := self.mark.fullmatch(x))}
-        new = list({x for x in pieces if x not in split} | {x for x, _ in split.values() if x not in known})
-        known.update(zip(new, self._ids([before + x for x in new]), strict=True))
-        tails = list({x for _, x in split.values() if x not in self.first})
-        self.first.update(zip(tails, self._ids(tails), strict=True))
-        known.update({x: known[a] + self.first[b] for x, (a, b) in split.items()})
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        texts = list(texts)
-        if len(self.first) + len(self.rest) > CACHE:  # what these texts use stays, mostly frequent pieces
-            lines = [x.split(" ") for t in texts for x in t.split("\n")]
-            first, rest = {x[0] for x in lines}, {y for x in lines for y in x[1:]}
-            self.first = {x: y for x in first if (y := self.first.get(x)) is not None}
-            self.rest = {x: y for x in rest if (y := self.rest.get(x)) is not None}
-        units, new_first, new_rest = [], set(), set()
-        for text in texts:
-            unit = []
-            for line in [self.cut.split(text)] if self.odd.search(text) else [x.split(" ") for x in text.split("\n")]:
-                got = [self.first.get(line[0]), *map(self.rest.get, line[1:])]
-                if None in got:
-                    new_first.add(line[0])
-                    new_rest.update(x for x, y in zip(line[1:], got[1:], strict=True) if y is None)
-                    got = line
-                unit.append(got)
-            units.append(unit)
-        if new_first or new_rest:
-            self._learn(self.first, {x for x in new_first if x not in self.first}, "")
-            self._learn(self.rest, new_rest, " ")
-        out = []
-        for unit in units:
-            lines = [b"".join(x) if isinstance(x[0], bytes) else b"".join([self.first[x[0]], *map(self.rest.__getitem__, x[1:])]) for x in unit]
-            out.append(self.line.join(lines))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces; those without a line feed are encoded in joined texts, and cut at the line feeds' ids."""
+        if len(self.known) + len(pieces) > CACHE:
+            self.known = {}
+        plain = [x for x in pieces if "\n" not in x and (y := x.removeprefix(" ")) and not y[0].isspace() and not y[-1].isspace()]
+        rest = set(pieces).difference(plain)
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.frombuffer(self._ids(["\n".join(some)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(self.line) != 1 or len(ends) != len(some):
+                raise ValueError("the tokenizer does not part lines")
+            starts, data = np.concatenate(([0], ends[:-1] + 1)), ids.tobytes()
+            self.known.update((x, data[4 * a : 4 * b]) for x, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        for at in range(0, len(rest := list(rest)), JOINED):
+            self.known.update(zip(rest[at : at + JOINED], self._ids(rest[at : at + JOINED]), strict=True))
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
+        got = list(map(self.known.get, pieces))
+        if None in got:
+            self._learn(list({x for x, y in zip(pieces, got, strict=True) if y is None}))
+            got = [self.known.get(x) if y is None else y for x, y in zip(pieces, got, strict=True)]
+        return got
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()), "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for r in np.flatnonzero(odd).tolist():
+            out[r] = b"".join(self._lookup(self.cut.split(texts[r].as_py())))
+        plain = np.flatnonzero(~odd)
+        # A piece begins at a space, a line feed, or a mark after a letter; \x1f marks these cuts, and texts that hold it count as odd.
+        marked = pc.replace_substring_regex(texts.take(pa.array(plain)), CUT, "\\1\x1f\\2\\3")
+        pieces = pc.split_pattern(marked, "\x1f")
+        first, codes = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
+        ids = self._lookup(codes.dictionary.to_pylist())
+        at = codes.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        many = size[at]
+        ends = np.cumsum(many)
+        total = int(ends[-1]) if len(ends) else 0
+        data = flat[np.repeat(begin[at] - (ends - many), many) + np.arange(total)].tobytes()
+        rows = (4 * np.concatenate(([0], ends))[first - first[0]]).tolist() if len(first) else [0]
+        for k, r in enumerate(plain.tolist()):
+            out[r] = data[rows[k] : rows[k + 1]]
         return out
 
 
@@ -207,7 +223,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tu
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for a in range(0, len(doc_ids), 500):
-                for doc_id, got in zip(doc_ids[a : a + 500], encoder.encode(x or "" for x in texts[a : a + 500].to_pylist()), strict=True):
+                for doc_id, got in zip(doc_ids[a : a + 500], encoder.encode(texts.slice(a, 500)), strict=True):
                     entries.append({"doc_id": doc_id, "first": n, "n_tokens": len(got) // 4 + 1})
                     ids += [got, end]
                     n += len(got) // 4 + 1
