@@ -39,8 +39,8 @@ RANK_EVERY = 512
 MAGIC = b"VDAC1\0"
 #: Ids in a segment before it is closed at the next document end.
 SEGMENT_IDS = 1 << 18
-#: Distinct text pieces whose ids a worker keeps; beyond that the cache starts anew.
-CACHE = 400_000
+#: Distinct text pieces of a generation whose ids a worker keeps; it holds two generations.
+CACHE = 500_000
 #: New pieces that are encoded in one call.
 JOINED = 2000
 #: Texts with white space at an end or beside other white space, or with the mark of a cut.
@@ -138,7 +138,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # by piece, with the space or line feed before it
+        # By piece, with the space or line feed before it; ``older`` is the generation before, and what is asked for moves on.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.line = np.frombuffer(self._ids(["\n"])[0], "<u4")
 
@@ -147,8 +149,6 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces; those without a line feed are encoded in joined texts, and cut at the line feeds' ids."""
-        if len(self.known) + len(pieces) > CACHE:
-            self.known = {}
         plain = [x for x in pieces if "\n" not in x and (y := x.removeprefix(" ")) and not y[0].isspace() and not y[-1].isspace()]
         rest = set(pieces).difference(plain)
         for at in range(0, len(plain), JOINED):
@@ -163,10 +163,15 @@ class Encoder:
             self.known.update(zip(rest[at : at + JOINED], self._ids(rest[at : at + JOINED]), strict=True))
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
         got = list(map(self.known.get, pieces))
         if None in got:
-            self._learn(list({x for x, y in zip(pieces, got, strict=True) if y is None}))
-            got = [self.known.get(x) if y is None else y for x, y in zip(pieces, got, strict=True)]
+            new = {x for x, y in zip(pieces, got, strict=True) if y is None}
+            kept = {x: y for x in new if (y := self.older.get(x)) is not None}
+            self.known.update(kept)
+            self._learn([x for x in new if x not in kept])
+            got = [self.known[x] if y is None else y for x, y in zip(pieces, got, strict=True)]
         return got
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
