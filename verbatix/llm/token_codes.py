@@ -40,9 +40,11 @@ MAGIC = b"VDAC1\0"
 #: Ids in a segment before it is closed at the next document end.
 SEGMENT_IDS = 1 << 18
 #: Distinct text pieces of a generation whose ids a worker keeps; it holds two generations.
-CACHE = 500_000
+CACHE = 250_000
 #: New pieces that are encoded in one call.
 JOINED = 2000
+#: Bytes of text that are encoded at once (or one text of any length): equal pieces of a block are looked up once.
+BLOCK_BYTES = 4 << 20
 #: Texts with white space at an end or beside other white space, or with the mark of a cut.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 ODD = rf"{_WHITE}{_WHITE}|\A{_WHITE}|{_WHITE}\z|\x1f"
@@ -203,6 +205,38 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with what it remembers from earlier tasks.
+
+    Tasks must come here for it: a function that is sent to the workers by value
+    carries a copy of the module variables it names, empty in every task.
+    """
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Document ids and texts in blocks of at most ``BLOCK_BYTES`` of text, or of one longer text."""
+    held, size = [], 0
+    for batch in batches:
+        offsets = common.buffers(batch.column("text"))[1]
+        for a, b in common.slices(offsets, BLOCK_BYTES):
+            more = int(offsets[b] - offsets[a])
+            if held and size + more > BLOCK_BYTES:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += more
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    doc_ids = [x for batch in held for x in batch.column("doc_id").to_pylist()]
+    return doc_ids, pa.concat_arrays([batch.column("text") for batch in held])
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -214,9 +248,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tu
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         segment, first, ids, entries, n = 0, 0, [], [], 0
 
@@ -225,16 +257,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tu
             row = {"shard": shard, "segment": segment, "first": first, "n_tokens": n, "docs": entries, "payload": payload}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for a in range(0, len(doc_ids), 500):
-                for doc_id, got in zip(doc_ids[a : a + 500], encoder.encode(texts.slice(a, 500)), strict=True):
-                    entries.append({"doc_id": doc_id, "first": n, "n_tokens": len(got) // 4 + 1})
-                    ids += [got, end]
-                    n += len(got) // 4 + 1
-                    if n >= SEGMENT_IDS:
-                        yield close()
-                        segment, first, ids, entries, n = segment + 1, first + n, [], [], 0
+        for doc_ids, texts in blocks(batches):
+            for doc_id, got in zip(doc_ids, encoder.encode(texts), strict=True):
+                entries.append({"doc_id": doc_id, "first": n, "n_tokens": len(got) // 4 + 1})
+                ids += [got, end]
+                n += len(got) // 4 + 1
+                if n >= SEGMENT_IDS:
+                    yield close()
+                    segment, first, ids, entries, n = segment + 1, first + n, [], [], 0
         if entries:
             yield close()
 
