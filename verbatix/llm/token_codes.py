@@ -40,9 +40,9 @@ MAGIC = b"VDAC1\0"
 #: Ids in a segment before it is closed at the next document end.
 SEGMENT_IDS = 1 << 18
 #: Distinct text pieces of a generation whose ids a worker keeps; it holds two generations.
-CACHE = 250_000
+CACHE = 500_000
 #: New pieces that are encoded in one call.
-JOINED = 2000
+JOINED = 300
 #: Bytes of text that are encoded at once (or one text of any length): equal pieces of a block are looked up once.
 BLOCK_BYTES = 4 << 20
 #: Texts with white space at an end or beside other white space, or with the mark of a cut.
