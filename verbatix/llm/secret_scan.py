@@ -271,7 +271,10 @@ def _fit(texts: list[str]) -> Field:
 def train(docs: DataFrame) -> Field:
     """A field from the ``TRAIN_TEXTS`` texts with the smallest hash (equal texts once)."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and length(text) > 0")
-    some = rows.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(TRAIN_TEXTS)
+    hashed = rows.select(F.xxhash64("text").alias("h"), "text")
+    # Hashes alone are ordered first: a limit on rows with texts would send that many whole texts of every partition to the driver.
+    bound = hashed.select("h").orderBy("h").limit(TRAIN_TEXTS).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= F.lit(bound)).select("text").distinct()  # at most TRAIN_TEXTS texts
     return _fit(sorted({r.text for r in some.collect()}))
 
 
