@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from verbatix.llm import common, decontaminate, jaccard_join, mixing, token_codes, toxicity
 
 COLUMNS = list(mixing.COLUMNS)
+#: Near copies share this percentage of their runs of so many words; op8's own contract is tighter.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.table(spark, sf_dir, "documents")
-    return jaccard_join.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    return jaccard_join.keep_one(docs.select(*COLUMNS), NEAR_WORDS, NEAR_PERCENT).select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from verbatix.llm import common, components, decontaminate, jaccard_join, language_id, mixing, secret_scan, surrogates, token_codes, topk_search, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,6 +67,18 @@ def test_jaccard_join(spark, percent):
     assert jaccard_join.link_components(docs(spark, t).limit(0)).count() == 0
 
 
+def test_copies_of_the_pipeline(spark, tmp_path):
+    base, t = prose(100, 21).split(), texts()
+    changed = list(base)
+    changed[30], changed[70] = "new1", "new2"  # 0.811 of five words, 0.848 of four
+    t += [" ".join(base), " ".join(changed), " ".join([*base, *prose(20, 22).split()])]
+    rows = docs(spark, t)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, rows, str(tmp_path)).collect())
+    assert got == [i for i, (_, root) in enumerate(brute_components(t, 5, 80)) if i == root]
+    assert got != [i for i, (_, root) in enumerate(brute_components(t, 4, 85)) if i == root]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 50), (60, 61), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges).collect()}
