@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,28 @@ def test_toxicity(spark):
     assert toxicity.clean(df, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_weighs_all_words(spark):
+    rows = [(i, prose(30, 900 + i) + (" vileword" if i % 4 == 0 else ""), "en", "s", 1) for i in range(70)]
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(70)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(df, labels).collect()}
+    assert all(out[i].predicted == int(i % 4 == 0) for i in range(70))  # fewer rows than the old least chi-square
+    words = [Counter(r[1].split()) for r in rows]
+    mine = [i for i in range(70) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, ones = len(mine), sum(i % 4 == 0 for i in mine)
+
+    def scale(w):
+        k, y = sum(w in words[i] for i in mine), sum(w in words[i] for i in mine if i % 4 == 0)
+        chi = (y * n - k * ones) ** 2 * n / max(k * (n - k) * ones * (n - ones), 1)
+        return (chi / n * chi / (chi + toxicity.CHANCE) + 1 / n) * (np.log(71 / (sum(w in x for x in words) + 1)) + 1)
+
+    scales = {w: scale(w) for x in words for w in x}
+    vectors = [{w: (1 + np.log(c)) * scales[w] for w, c in x.items()} for x in words]
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    for i in (1, 2, 3, 4, 42):
+        wanted = sorted((cosine(vectors[i], vectors[j]) for j in mine), reverse=True)[:3]
+        assert np.allclose([e.cosine for e in out[i].evidence], wanted, atol=3e-5)
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(4)
     counts = rng.poisson(0.15, (2000, 40))

@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max index.
 
-Words fall on ``SLOTS`` hashed features. Those whose presence goes with the label
-(chi-square over the labelled sample, at most ``FEATURES``) make up the vectors;
-their inverse document frequencies count all documents. Labelled examples lie in
-blocks of ``BLOCK`` similar ones, and the index keeps for each block and feature the
-largest weight. A document's bound for a block is the product with these maxima;
-blocks are scored by falling bound until no other can reach the k-th best cosine, so
-the neighbours are exact. Their votes are weighted by closeness, and an isotonic map
-fitted on the examples themselves (each without itself) calibrates the result.
+Words fall on ``SLOTS`` hashed features, and all of them count. A word's weight is its
+TF-IDF, with inverse document frequencies of all documents, times how far its presence
+goes with the label: phi squared (chi-square by the number of labelled rows, so it
+does not grow with them), less where chi-square is small enough for chance, and one by
+the number of rows added, so that no word's weight is zero. Labelled examples lie in
+blocks of ``BLOCK`` similar ones, and the index keeps for each word and block its
+postings and the largest weight. A document's bound for a block is the product with
+these maxima; blocks are scored by falling bound until no other can reach the k-th
+best cosine, so the neighbours are exact. Their votes are weighted by closeness, and
+an isotonic map fitted on the examples themselves (each without itself) calibrates the
+result.
 
 The labelled sample is bounded: the ``EXAMPLES`` rows with the smallest hash of their
 id among those that may be learnt from. All else covers all documents.
 
-Edge cases: a text that is null, empty or has no feature gets the rate among such
-examples; without labelled rows every score is 0; ties go to the smaller example id;
+Edge cases: a text that is null, empty or has no word of any example gets the rate among
+examples without words; without labelled rows every score is 0; ties go to the smaller example id;
 repeated label rows count once (the larger label); rows are scored by text alone, so
 copies score alike; an empty table gives no rows; extra columns are ignored by
 ``score`` and kept by ``clean``.
@@ -32,13 +35,16 @@ from . import common
 from .language_id import held_out
 
 SLOTS = 1 << 22
-#: The bound of the labelled sample, and of the features.
-EXAMPLES, FEATURES = 16_384, 256
-LEAST_CHI, LEAST_ROWS = 80.0, 8
+#: The bound of the labelled sample.
+EXAMPLES = 16_384
+#: A word's phi squared counts by half where its chi-square is this.
+CHANCE = 10.0
 BLOCK, NEAREST = 64, 15
 THRESHOLD = 0.3
 #: Examples that the calibration scores.
 CALIBRATE = 3000
+#: Rows in a batch of word counts.
+FREQUENCY_ROWS = 1 << 16
 
 
 def _slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,69 +55,142 @@ def _slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), first
 
 
-def _counts(column: pa.Array, known: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For ranges of rows: first row, and counts by row and feature. ``known`` maps slots to features or -1."""
-    width = int(known.max(initial=-1)) + 1
+def _counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ranges of rows: first row, number of rows, and row, slot and count of each distinct word, by row and slot."""
     for a, slots, first in _slots(column):
-        feature = known[slots]
-        at = np.flatnonzero(feature >= 0)
-        row = np.searchsorted(first, at, side="right") - 1
-        n = len(first) - 1
-        yield a, np.bincount(row * width + feature[at], minlength=n * width).reshape(n, width) if width else np.zeros((n, 0), np.int64)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        both, counts = np.unique(row * SLOTS + slots, return_counts=True)
+        yield a, len(first) - 1, both // SLOTS, both % SLOTS, counts
+
+
+def _weights(row: np.ndarray, counts: np.ndarray, scale: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the words of ``n`` rows; each row has length 1."""
+    w = (1 + np.log(counts)) * scale
+    return (w / np.maximum(np.sqrt(np.bincount(row, w * w, minlength=n)), 1e-30)[row]).astype(np.float32)
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range of ``n`` numbers."""
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
+class Rows:
+    """Sparse rows: the features of row r, in ascending order, and their weights lie in first[r]:first[r + 1]."""
+
+    def __init__(self, first: np.ndarray, features: np.ndarray, weights: np.ndarray):
+        self.first, self.features, self.weights = first, features, weights
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        row, features = np.nonzero(dense)
+        return cls(np.searchsorted(row, np.arange(len(dense) + 1)), features.astype(np.int32), dense[row, features].astype(np.float32))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.features[self.first[r] : self.first[r + 1]], self.weights[self.first[r] : self.first[r + 1]]
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row(), self.weights * x[self.features], minlength=len(self))
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.first)[rows]
+        at = _ranges(self.first[rows], n)
+        return Rows(np.concatenate(([0], np.cumsum(n))), self.features[at], self.weights[at])
 
 
 class Index:
-    """Labelled examples in blocks, with the largest weight of each feature in a block; equal examples stand together."""
+    """Labelled examples in blocks, with postings and the largest weight of each feature in a block; equal examples stand together.
+
+    ``idf`` are the features' scales, ``slots`` the features' slots in ascending order.
+    """
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
-        full = vectors.any(1)
-        self.idf = idf
+    def __init__(self, vectors: np.ndarray | Rows, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray, slots: np.ndarray | None = None):
+        vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
+        full = np.diff(vectors.first) > 0
+        self.idf, self.slots = idf, slots
         self.rate = (labels[~full].sum() + 0.5 * labels.mean()) / ((~full).sum() + 0.5) if len(labels) else 0.0
-        vectors, labels, ids = vectors[full].astype(np.float32), labels[full], ids[full]
-        if len(ids):
-            vectors, place, n = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
-            place, least = place.ravel(), np.full(len(n), np.iinfo(np.int64).max)
-            np.minimum.at(least, place, ids)
-            # Alike examples side by side make tight maxima.
-            order = np.lexsort((least, -vectors.max(1), vectors.argmax(1)))
-            vectors, self.n, self.ones, self.ids = vectors[order], n[order].astype(np.float64), np.bincount(place, labels)[order], least[order]
-        else:
-            self.n, self.ones, self.ids = np.zeros(0), np.zeros(0), ids
-        self.vectors, blocks = vectors, -(-len(vectors) // BLOCK)
-        padded = np.zeros((blocks * BLOCK, len(idf)), np.float32)
-        padded[: len(vectors)] = vectors
-        self.blocks = np.ascontiguousarray(padded.reshape(blocks, BLOCK, len(idf)).transpose(0, 2, 1))
-        self.most = self.blocks.max(2).T.copy() if blocks else np.zeros((len(idf), 0), np.float32)
+        vectors, labels, ids = vectors.take(np.flatnonzero(full)), labels[full], ids[full]
+        known: dict[bytes, int] = {}
+        place = np.array([known.setdefault(b"".join(x.tobytes() for x in vectors[r]), len(known)) for r in range(len(ids))], np.int64)
+        one, n = np.unique(place, return_index=True, return_counts=True)[1:]
+        least = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, ids)
+        tops = [vectors[r][1].argmax() + vectors.first[r] for r in one]
+        # Alike examples side by side make tight maxima.
+        order = np.lexsort((least, -vectors.weights[tops], vectors.features[tops])) if len(one) else one
+        self.vectors, self.n, self.ones, self.ids = vectors.take(one[order]), n[order].astype(np.float64), np.bincount(place, labels, len(n))[order], least[order]
         self.points: tuple[np.ndarray, np.ndarray] | None = None
+        self.post()
+
+    def post(self) -> None:
+        """Make the postings from the examples' rows."""
+        self.count = -(-len(self.ids) // BLOCK)
+        by = np.argsort(self.vectors.features, kind="stable").astype(np.int32)
+        feature, self.rows, self.weights = self.vectors.features[by], self.vectors.row().astype(np.int32)[by], self.vectors.weights[by]
+        # Runs of postings of one feature in one block.
+        block = (self.rows // BLOCK).astype(np.int16)
+        runs = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)).astype(np.int32)
+        self.runs, self.block = np.append(runs, np.int32(len(feature))), block[runs]
+        self.most = np.maximum.reduceat(self.weights, runs) if len(runs) else self.weights
+        self.first = np.searchsorted(feature[runs], np.arange(len(self.idf) + 1))
+
+    def __getstate__(self) -> dict:
+        """Workers make the postings anew, so that a broadcast holds the rows alone."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "weights", "runs", "block", "most", "first")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.post()
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * self.idf
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
     def nearest(self, x: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples of a vector, exact; ``skip`` is a place to leave out."""
+        """Places and cosines of the nearest examples of a dense vector."""
         on = np.flatnonzero(x)
-        weight = x[on]
-        bound = weight @ self.most[on]
+        return self.search(on, x[on], skip)
+
+    def search(self, on: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the nearest examples of a vector's features and weights, exact; ``skip`` is a place to leave out."""
+        n = self.first[on + 1] - self.first[on]
+        runs, weight = _ranges(self.first[on], n), np.repeat(weight, n)
+        block = self.block[runs]
+        bound = np.bincount(block, weight * self.most[runs], minlength=self.count)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        at, cosine, low, done, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0, 4
-        while done < len(order) and bound[order[done]] >= low - 1e-5:
-            some = order[done : done + step]
-            got = (weight @ self.blocks[some[:, None], on]).ravel()
-            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        bound, turn = bound[order], np.full(self.count, self.count, np.int16)
+        turn[order] = np.arange(len(order))
+        turn = turn[block]
+        by = np.argsort(turn, kind="stable")
+        runs, weight, turn = runs[by], weight[by], turn[by]
+        ends = np.searchsorted(turn, np.arange(len(order) + 1))
+        at, cosine, low, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while done < len(order) and bound[done] >= low - 1e-5:
+            end = min(done + step, int(np.searchsorted(-bound, 1e-5 - low, side="right")))
+            some = slice(ends[done], ends[end])
+            n = self.runs[runs[some] + 1] - self.runs[runs[some]]
+            entry = _ranges(self.runs[runs[some]], n)
+            place = np.repeat((turn[some].astype(np.int64) - done) * BLOCK, n) + self.rows[entry] % BLOCK
+            got = np.bincount(place, np.repeat(weight[some], n) * self.weights[entry], minlength=(end - done) * BLOCK)
+            rows = (order[done:end, None] * BLOCK + np.arange(BLOCK)).ravel()
             keep = (got >= max(low - 1e-5, 1e-9)) & (rows != skip)
             at, cosine = np.concatenate((at, rows[keep])), np.concatenate((cosine, got[keep]))
             if len(at) > NEAREST:
                 keep = np.lexsort((self.ids[at], -np.round(cosine, 5)))[:NEAREST]
                 at, cosine = at[keep], cosine[keep]
             low = float(cosine.min()) if len(at) >= NEAREST else 0.0
-            done, step = done + step, step * 2
+            done, step = end, step * 2
         keep = np.lexsort((self.ids[at], -np.round(cosine, 5)))[:NEAREST]
         return at[keep], cosine[keep]
 
-    def vote(self, x: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, cosine = self.nearest(x, skip)
+    def vote(self, on: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        at, cosine = self.search(on, weight, skip)
         if not len(at):
             return self.rate, at, cosine
         weight = 1 / (1.02 - np.minimum(cosine.astype(np.float64), 1))
@@ -120,7 +199,7 @@ class Index:
     def calibrate(self) -> None:
         """Pool adjacent violators over the votes of a spread of the examples, each without itself."""
         some = np.unique(np.linspace(0, len(self.ids) - 1, CALIBRATE).astype(np.int64)) if len(self.ids) else []
-        triples = sorted((self.vote(self.vectors[k], k)[0], float(self.ones[k] / self.n[k]), float(self.n[k])) for k in some)
+        triples = sorted((self.vote(*self.vectors[k], k)[0], float(self.ones[k] / self.n[k]), float(self.n[k])) for k in some)
         pools: list[list[float]] = []
         for v, y, n in triples:
             pools.append([v, y, n])
@@ -132,16 +211,14 @@ class Index:
         if pools:
             self.points = np.array([p[0] for p in pools]), np.array([(p[1] * p[2] + 0.01) / (p[2] + 0.02) for p in pools])
 
-    def score(self, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score of a weighted vector, with places and cosines of its evidence."""
-        if not x.any():
-            return self.rate, np.zeros(0, np.int64), np.zeros(0, np.float32)
-        v, at, cosine = self.vote(x)
-        return float(np.interp(v, *self.points)) if self.points is not None else v, at, cosine
+    def score(self, on: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Calibrated score of a vector's features and weights, with places and cosines of its evidence."""
+        v, at, cosine = self.vote(on, weight)
+        return float(np.interp(v, *self.points)) if len(at) and self.points is not None else v, at, cosine
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None:
-    """Slots to features, and the index of labelled examples; None without labelled rows."""
+    """The scale of each slot, and the index of labelled examples; None without labelled rows."""
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -167,38 +244,48 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
     n, ones = totals[0], totals[1] or 0
     if not n:
         return None
-    marks = sample.select("toxic", "text").mapInArrow(presence, "slot long, n long, ones long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where(f"n >= {LEAST_ROWS} and n < {n}")
-    chi = F.pow(F.col("ones") * float(n) - F.col("n") * float(ones), 2) * n / (F.col("n") * (n - F.col("n")) * float(max(ones, 1)) * max(n - ones, 1))
-    best = marks.withColumn("chi", chi).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "slot").limit(FEATURES).collect()  # at most FEATURES
-    known = np.full(SLOTS, -1, np.int16)
-    known[[r.slot for r in best]] = np.arange(len(best))
-    shared = spark.sparkContext.broadcast(known)
+    marks = sample.select("toxic", "text").mapInArrow(presence, "slot long, n long, ones long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow()  # at most SLOTS rows
+    slots, rows_of, ones_of = (marks.column(c).to_numpy() for c in ("slot", "n", "ones"))
+    # A word in all rows or a single label tells nothing.
+    chi = (ones_of * float(n) - rows_of * float(ones)) ** 2 * n / np.maximum(rows_of * (n - rows_of) * float(ones) * (n - ones), 1)
+    scale = np.full(SLOTS, 1 / n, np.float32)
+    scale[slots] += chi / n * chi / (chi + CHANCE)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(best), np.int64), 0
+        total, rows = np.zeros(SLOTS, np.int32), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, m in _counts(batch.column("text"), shared.value):
-                total += (m > 0).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(best))]), pa.array([rows, *total.tolist()])], names=["feature", "n"])
-
-    df = dict(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequency, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect())
-    idf = np.log((df.get(-1, 0) + 1) / (np.array([df.get(k, 0) for k in range(len(best))]) + 1)) + 1
+            for _, _, _, slot, _ in _counts(batch.column("text")):
+                total += np.bincount(slot, minlength=SLOTS).astype(np.int32)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows])], names=["slot", "n"])
+        for k in range(0, len(on), FREQUENCY_ROWS):
+            part = on[k : k + FREQUENCY_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["slot", "n"])
+
+    df = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequency, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    found = np.zeros(SLOTS + 1, np.float32)
+    found[df.column("slot").to_numpy()] = df.column("n").to_numpy()  # -1, the number of documents, is the last place
+    scale *= np.log((found[-1] + 1) / (found[:-1] + 1)) + 1
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, m in _counts(batch.column("text"), shared.value):
-                part = batch.slice(a, len(m))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([x.astype(np.int32).tobytes() for x in m], pa.binary())], names=["doc_id", "toxic", "counts"])
-
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, counts binary").toArrow()  # at most EXAMPLES rows of FEATURES numbers
-    ids = got.column("doc_id").to_numpy()
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int32).reshape(len(ids), len(best))
-    order = np.argsort(ids, kind="stable")
-    index = Index(np.zeros((0, len(best))), np.zeros(0), ids[:0], idf)
-    index = Index(index.weigh(counts[order]), got.column("toxic").to_numpy()[order].astype(np.float64), ids[order], idf)
+            for a, size, row, slot, counts in _counts(batch.column("text")):
+                part, first = batch.slice(a, size), np.searchsorted(row, np.arange(size + 1))
+                cols = ([x[i:j].astype(np.int32).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)] for x in (slot, counts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "toxic", "slots", "counts"])
+
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, slots binary, counts binary").toArrow()  # at most EXAMPLES rows
+    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
+    words, counts = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("slots", "counts"))
+    first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got.column("slots").to_pylist()], dtype=np.int64)))
+    slots = np.unique(words)
+    features = np.searchsorted(slots, words).astype(np.int32)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    vectors = Rows(first, features, _weights(row, counts, scale[words], len(first) - 1))
+    index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), scale[slots], slots)
     index.calibrate()
-    return known, index
+    return scale, index
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
@@ -209,16 +296,18 @@ def _scorer(docs: DataFrame, labels: DataFrame):
         if model.value is None:
             yield from ((0.0, []) for _ in range(len(column)))
             return
-        known, index = model.value
-        for _, m in _counts(column, known):
-            full = np.flatnonzero(m.any(1))
-            x = dict(zip(full.tolist(), index.weigh(m[full]), strict=True))
-            for k in range(len(m)):
-                if k not in x:
+        scale, index = model.value
+        for _, size, row, slot, counts in _counts(column):
+            weights = _weights(row, counts, scale[slot], size)
+            feature = np.searchsorted(index.slots, slot)
+            held = np.flatnonzero(np.append(index.slots, -1)[feature] == slot)
+            feature, weights, ends = feature[held], weights[held], np.searchsorted(row[held], np.arange(size + 1)).tolist()
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                if i == j:
                     yield float(index.rate), []
                     continue
-                value, at, cosine = index.score(x[k])
-                yield value, [{"doc_id": int(index.ids[i]), "label": round(float(index.ones[i] / index.n[i]), 5), "cosine": round(float(c), 5)} for i, c in zip(at[:3], cosine[:3], strict=True)]
+                value, at, cosine = index.score(feature[i:j], weights[i:j])
+                yield value, [{"doc_id": int(index.ids[k]), "label": round(float(index.ones[k] / index.n[k]), 5), "cosine": round(float(c), 5)} for k, c in zip(at[:3], cosine[:3], strict=True)]
 
     return run
 
