@@ -212,6 +212,14 @@ def test_secrets(spark):
     assert got[4].base_sha256 == got[5].base_sha256 == got[6].base_sha256 and got[6].spans == ""
 
 
+def test_hex_at_the_end_of_a_text(spark):
+    t = ["commit " + "deadbeef" * 5, "a plain text", "0123456789ab", "cdef01234567", "f" * 24, "", "f" * 23, "beef"]
+    got = sorted(secret_scan.scan(docs(spark, t).coalesce(1)).collect(), key=lambda r: r.doc_id)
+    assert [r.n_hex for r in got] == [1, 0, 0, 0, 1, 0, 0, 0]
+    assert got[0].spans == "hex:7:47"
+    assert secret_scan._may_match(*common.buffers(pa.array(t))).tolist() == [r.n_hex == 1 for r in got]
+
+
 def test_surrogates(spark):
     t = ["Mail bob.x7@mail.example.com or +1 (743) 555-3824, 4465758382889437; 8.196.197.208", "again bob.x7@mail.example.com. Frau Anna Schmidt", None, "", "no data"]
     got = {r.doc_id: r for r in surrogates.replace(docs(spark, t)).collect()}

@@ -72,8 +72,11 @@ def _may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = [np.flatnonzero((data == 0x3A) | (data == 0x3D))]
     if len(data) >= 24:
         k = np.flatnonzero((data[:-3] == 65) & (data[1:-2] == 75) & (data[2:-1] == 73) & (data[3:] == 65))
-        gaps = np.concatenate(([-1], np.flatnonzero(~_HEXA[data]), [len(data)]))
-        at += [k, gaps[1:][np.diff(gaps) > 24] - 1]
+        inside, edge = _HEXA[data], np.zeros(len(data) + 1, bool)
+        edge[offsets] = True  # a run ends with its text
+        starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1])))
+        ends = np.flatnonzero(inside & np.concatenate((~inside[1:] | edge[1:-1], [True]))) + 1
+        at += [k, starts[ends - starts >= 24]]
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, np.concatenate(at), side="right") - 1] = True
     return out
