@@ -123,6 +123,25 @@ def test_url_filter(spark):
     assert got[6].rule is None and got[6].path == ""
 
 
+def test_trust_along_a_chain(spark):
+    # The first host is twelve links from the blocked one.
+    rows = [(i, f"http://h{i}.com/", f"<a href='//h{i + 1}.com'>") for i in range(11)] + [(11, "http://h11.com/", "<a href='//bad.net'>"), (12, "http://bad.net/", None)]
+    rows += [(20, "http://x.com/", "<a href='//y.com'>"), (21, "http://y.com/", "<a href='//x.com'>")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(13)) and got[20] == got[21] == "allow"
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("b", "d", 3), ("d", "e", 1), ("e", "b", 1)], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("a", 3, 0), ("e", 0, 2), ("d", 1, 0)], "host string, allowed long, blocked long")
+    ranks = {r.host: (r.trust, r.distrust) for r in url_filter.host_ranks(edges, seeds, ratio=1.0).collect()}
+    place, flow = {h: k for k, h in enumerate("abcde")}, np.zeros((5, 5))
+    for r in edges.collect():
+        flow[place[r.src], place[r.dst]] = r.w
+    down, up = flow / flow.sum(1, keepdims=True), flow / flow.sum(0)
+    trust = np.linalg.solve(np.eye(5) - 0.85 * down.T, 0.15 * np.array([0.75, 0, 0, 0.25, 0]))
+    distrust = np.linalg.solve(np.eye(5) - 0.85 * up, 0.15 * np.array([0, 0, 0, 0, 1]))
+    assert {h: x[1] > x[0] for h, x in ranks.items()} == {h: distrust[k] > trust[k] for h, k in place.items()}
+    assert all(x[0] <= trust[place[h]] + 1e-9 and x[1] <= distrust[place[h]] + 1e-9 for h, x in ranks.items())
+
+
 def test_mixing_means(spark):
     rows = [(i, "t", "en", "big" if i < 3000 else "small" if i < 4000 else None, 1) for i in range(4400)]
     out = mixing.replicate(spark.createDataFrame(rows, DOCS)).groupBy("source").count().collect()

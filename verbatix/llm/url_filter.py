@@ -4,7 +4,9 @@ Hosts of pages that a rule allows are trusted seeds, hosts of pages that a rule
 blocks are blocked seeds. Links between hosts are counted in pages. Trust is a
 personalised PageRank from the trusted seeds along the links; distrust is one from
 the blocked seeds against them (who links to a blocked host is suspect). A host is
-blocked if its distrust exceeds its trust times ``ratio``. Rules decide first.
+blocked if its distrust exceeds its trust times ``ratio``. Rules decide first. Rounds
+go on until no verdict can turn; the SQL writes out ``ROUNDS`` of them and so agrees
+only where these settle the verdicts, as in tables without links between hosts.
 
 All of it is DataFrame expressions. Each round of the ranks is written to the
 shared folder. What is joined back to the pages is a row per blocked host; it is
@@ -27,6 +29,8 @@ from . import common
 #: (host, path, verdict): fits the host and its subdomains where the path begins so; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS, RATIO = 0.85, 8, 1.0
+#: Rank still on its way that no longer counts, near the precision of its sums.
+TOLERANCE = 1e-12
 BROADCAST_ROWS = 100_000
 LINK = r"""href[ \t\r\n\f]*=[ \t\r\n\f]*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'> \t\r\n\f]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,28 +54,45 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def host_ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, w) and seeds (host, allowed, blocked)."""
+def host_ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, w) and seeds (host, allowed, blocked).
+
+    Round k adds what arrives over k links, so ranks grow towards PageRank and lack at
+    most the last addition times damping / (1 - damping). Rounds end when no host is
+    reached anew and that rest can turn no comparison of distrust with ``ratio`` times
+    trust, or is below ``TOLERANCE``.
+    """
     sums = seeds.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     a, b = float(sums.a or 0) or 1.0, float(sums.b or 0) or 1.0
-    starts = seeds.select("host", (F.col("allowed") / a).alias("t0"), (F.col("blocked") / b).alias("b0"))
+    starts = seeds.select("host", (F.col("allowed") / a).alias("trust"), (F.col("blocked") / b).alias("distrust"))
     outs = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     ins = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     flow = edges.join(outs, "src").join(ins, "dst").select("src", "dst", (F.col("w") / F.col("out_w")).alias("down"), (F.col("w") / F.col("in_w")).alias("up"))
     flow = common.materialize(flow)
     starts = common.materialize(starts)
-    now = starts.select("host", F.col("t0").alias("trust"), F.col("b0").alias("distrust"))
     if not flow.limit(1).count():
-        rounds = 0  # without links the ranks are the seeds
-    for _ in range(rounds):
-        trust = flow.join(now.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (damping * F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("b"))
-        distrust = flow.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("distrust") * F.col("up")).alias("b"))
-        base = starts.select("host", ((1 - damping) * F.col("t0")).alias("t"), ((1 - damping) * F.col("b0")).alias("b"))
-        now = common.materialize(base.unionByName(trust).unionByName(distrust).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("b").alias("distrust")))
-    return now
-
-
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+        return starts  # without links the ranks are the seeds
+    none = F.lit(0.0)
+    now = starts.select("host", *(((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust")))
+    now = now.withColumn("t", F.col("trust")).withColumn("b", F.col("distrust"))
+    while True:
+        trust = flow.join(now.select(F.col("host").alias("src"), "t").where("t > 0"), "src").select(F.col("dst").alias("host"), none.alias("trust"), none.alias("distrust"), (damping * F.col("t") * F.col("down")).alias("t"), none.alias("b"))
+        distrust = flow.join(now.select(F.col("host").alias("dst"), "b").where("b > 0"), "dst").select(F.col("src").alias("host"), none.alias("trust"), none.alias("distrust"), none.alias("t"), (damping * F.col("b") * F.col("up")).alias("b"))
+        held = now.select("host", "trust", "distrust", none.alias("t"), none.alias("b"))
+        new = held.unionByName(trust).unionByName(distrust).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t", "b")))
+        fresh = F.expr("(trust = 0 and t > 0) or (distrust = 0 and b > 0)").alias("fresh")
+        now = common.materialize(new.select("host", (F.col("trust") + F.col("t")).alias("trust"), (F.col("distrust") + F.col("b")).alias("distrust"), "t", "b", fresh))
+        last = now.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count_if("fresh").alias("fresh")).first()
+        if last.fresh:
+            continue
+        t, b = (x * damping / (1 - damping) for x in (last.t, last.b))
+        blocked, trusted = F.col("distrust"), ratio * F.col("trust")
+        turns = ((blocked > trusted) & (F.col("trust") > 0) & (blocked <= trusted + ratio * t)) | ((blocked <= trusted) & (blocked > 0) & (blocked + b > trusted))
+        if max(t, b) < TOLERANCE or not now.where(turns).limit(1).count():
+            return now.select("host", "trust", "distrust")
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """(page_id, host, path, rule, verdict, by) for every row of ``pages`` (page_id, url, html)."""
     host, path = split_url(F.col("url"))
     found = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -80,7 +101,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     links = found.where("host != '' and html is not null").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("dst"))
     edges = links.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     edges, seeds = common.materialize(edges), common.materialize(seeds)
-    ranks = host_ranks(edges, seeds, damping, rounds)
+    ranks = host_ranks(edges, seeds, damping, ratio)
     bad = common.materialize(ranks.where(F.col("distrust") > ratio * F.col("trust")).select("host", F.lit(True).alias("bad")))
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
@@ -94,7 +115,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same rounds, written out."""
+    """``ROUNDS`` rounds, written out."""
     cases = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     fits = [f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in cases]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, cases, strict=True)) + " END"
