@@ -68,6 +68,23 @@ def test_jaccard_join(spark, percent):
     assert jaccard_join.link_components(docs(spark, t).limit(0)).count() == 0
 
 
+def test_links_without_stars(spark):
+    """Two copies share prefixes only in lists led by a longer text that fits neither."""
+    sets = lambda t: list(common.shingle_sets(*common.buffers(pa.array(t)), 4))
+    for seed in range(100_000):
+        words = prose(29, seed).split()
+        t = [" ".join(words[:23]), " ".join(words[:23]) + " other", " ".join(words[:28])]
+        a, b, c = sets(t)
+        if list(map(len, (a, b, c))) == [20, 21, 25] and (a[:4] == b[:4]).all() and (a[:4] == c[:4]).all():
+            break
+    # The longest leads: its id has the least hash.
+    ids = [r.id for r in spark.range(3).orderBy(F.xxhash64("id")).collect()]
+    rows = [(ids[1], t[0]), (ids[2], t[1]), (ids[0], t[2])]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_components(table).collect()}
+    assert got == {ids[0]: ids[0], ids[1]: min(ids[1:]), ids[2]: min(ids[1:])}
+
+
 def test_copies_of_the_pipeline(spark, tmp_path):
     base, t = prose(100, 21).split(), texts()
     changed = list(base)
