@@ -5,12 +5,13 @@
 2. Sets are put in one global order: shingles that repeat (counted in each task,
    then summed) last, by count, the others by hash. Two sets with the wanted
    similarity share a shingle among the first ``n - ceil(t n) + 1`` of each.
-3. Classes with identical prefix and size collapse into one group. The inverted
-   index holds groups: a row for each prefix shingle with size and place.
-4. Group pairs must pass the size filter and the place filter (an upper bound of
-   the overlap from the places of the shared shingle). Surviving pairs are expanded
-   to classes, whose parity sketches must not differ in more bits than the sets may
-   in shingles, and verified on whole texts.
+3. Classes with identical prefix and size collapse into one group. Groups find the
+   shared shingles of the inverted index, and the members of one group meet in a list
+   of its own; then each posting row is expanded to the classes of its group.
+4. Pairs of classes, not of groups, must pass the size filter and the place filter (an
+   upper bound of the overlap from the places of the shared shingle). In long lists
+   their parity sketches must not differ in more bits than the sets may in shingles.
+   What is left is verified on whole texts.
 
 A large family of near copies would give a quadratic number of pairs in step 4.
 Pairs within one component add nothing to the result, so stars come first: in each
