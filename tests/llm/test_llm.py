@@ -227,17 +227,29 @@ def test_toxicity_weighs_all_words(spark):
         assert np.allclose([e.cosine for e in out[i].evidence], wanted, atol=3e-5)
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("full", [0.0, 0.1, 1.0])  # all rows full, some, none
+def test_block_max_is_exact(monkeypatch, full):
+    monkeypatch.setattr(toxicity, "FULL", full)
     rng = np.random.default_rng(4)
-    counts = rng.poisson(0.15, (2000, 40))
-    index = toxicity.Index(np.zeros((0, 40)), np.zeros(0), np.zeros(0, np.int64), np.linspace(1, 4, 40))
-    index = toxicity.Index(index.weigh(counts), rng.integers(0, 2, 2000).astype(float), np.arange(2000), index.idf)
-    for q in index.weigh(rng.poisson(0.2, (30, 40))):
-        if q.any():
-            at, _ = index.nearest(q)
-            every = np.round(index.vectors @ q, 5)
-            full = np.lexsort((index.ids, -every))[: toxicity.NEAREST]
-            assert np.allclose(np.sort(every[at]), np.sort(every[full][every[full] > 0]), atol=2e-5)
+
+    def unit(rows):
+        x = rng.poisson(0.15, (rows, 40)) * np.linspace(1, 4, 40)
+        return toxicity.Rows.of(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))
+
+    vectors, queries = unit(2000), unit(200)
+    index = toxicity.Index(vectors, rng.integers(0, 2, 2000).astype(float), rng.permutation(2000), features=40)
+    assert len(index.ids) < 2000 and index.n.sum() == (np.diff(vectors.first) > 0).sum()  # equal rows are one
+    dense = np.zeros(40)
+    for q, (at, cosine) in enumerate(index.search(queries)):
+        features, weights = queries[q]
+        dense[:] = 0
+        dense[features] = weights
+        every = np.round(index.vectors @ dense, 9)
+        wanted = np.lexsort((index.ids, -every))[: toxicity.NEAREST]
+        wanted = wanted[every[wanted] > 0]
+        assert at.tolist() == wanted.tolist() and np.allclose(cosine, every[wanted])
+    own = np.arange(50)
+    assert all(k not in at for k, (at, _) in zip(own, index.search(index.vectors.take(own), own), strict=True))
 
 
 def test_secrets(spark):

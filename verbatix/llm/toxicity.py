@@ -5,10 +5,11 @@ TF-IDF, with inverse document frequencies of all documents, times how far its pr
 goes with the label: phi squared (chi-square by the number of labelled rows, so it
 does not grow with them), less where chi-square is small enough for chance, and one by
 the number of rows added, so that no word's weight is zero. Labelled examples lie in
-blocks of ``BLOCK`` similar ones, and the index keeps for each word and block its
-postings and the largest weight. A document's bound for a block is the product with
-these maxima; blocks are scored by falling bound until no other can reach the k-th
-best cosine, so the neighbours are exact. Their votes are weighted by closeness, and
+blocks of ``BLOCK`` similar ones. A word's postings are a list, or a full row if the
+word is in many examples, and full rows keep the largest weight of each block. A
+document's lists are added up; the product with the block maxima bounds what a block
+can still gain, and only blocks that can reach the k-th best cosine are completed, so
+the neighbours are exact. Their votes are weighted by closeness, and
 an isotonic map fitted on the examples themselves (each without itself) calibrates the
 result.
 
@@ -24,6 +25,7 @@ copies score alike; an empty table gives no rows; extra columns are ignored by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,12 @@ EXAMPLES = 16_384
 #: A word's phi squared counts by half where its chi-square is this.
 CHANCE = 10.0
 BLOCK, NEAREST = 64, 15
+#: A word in more than this share of the examples has a full posting row.
+FULL = 0.05
+#: Queries that are searched together, blocks that each completes first, and what single precision may be off.
+TOGETHER, LEAD, SLACK = 512, 8, 1e-5
+#: Weights in posting lists are rounded to so many steps; places there have 16 bits, so that EXAMPLES may be at most 65,536.
+STEPS = (1 << 16) - 1
 THRESHOLD = 0.3
 #: Examples that the calibration scores.
 CALIBRATE = 3000
@@ -95,7 +103,7 @@ class Rows:
         return np.bincount(self.row(), self.weights * x[self.features], minlength=len(self))
 
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.first))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.first))
 
     def take(self, rows: np.ndarray) -> Rows:
         n = np.diff(self.first)[rows]
@@ -104,102 +112,158 @@ class Rows:
 
 
 class Index:
-    """Labelled examples in blocks, with postings and the largest weight of each feature in a block; equal examples stand together.
+    """Labelled examples in blocks of ``BLOCK``, as an inverted index with block maxima; equal examples are one.
 
-    ``idf`` are the features' scales, ``slots`` the features' slots in ascending order.
+    A feature in more than ``FULL`` of the examples has a full posting row, any other a
+    posting list. ``slots`` are the features' slots in ascending order.
     """
 
-    def __init__(self, vectors: np.ndarray | Rows, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray, slots: np.ndarray | None = None):
+    def __init__(self, vectors: np.ndarray | Rows, labels: np.ndarray, ids: np.ndarray, slots: np.ndarray | None = None, features: int | None = None):
         vectors = vectors if isinstance(vectors, Rows) else Rows.of(vectors)
         full = np.diff(vectors.first) > 0
-        self.idf, self.slots = idf, slots
+        self.slots, self.features = slots, features if features is not None else int(vectors.features.max(initial=-1)) + 1
         self.rate = (labels[~full].sum() + 0.5 * labels.mean()) / ((~full).sum() + 0.5) if len(labels) else 0.0
-        vectors, labels, ids = vectors.take(np.flatnonzero(full)), labels[full], ids[full]
+        labels, ids = labels[full], ids[full]
         known: dict[bytes, int] = {}
-        place = np.array([known.setdefault(b"".join(x.tobytes() for x in vectors[r]), len(known)) for r in range(len(ids))], np.int64)
+        full = np.flatnonzero(full)
+        place = np.array([known.setdefault(hashlib.blake2b(b"".join(x.tobytes() for x in vectors[r]), digest_size=16).digest(), len(known)) for r in full.tolist()], np.int64)
         one, n = np.unique(place, return_index=True, return_counts=True)[1:]
         least = np.full(len(n), np.iinfo(np.int64).max)
         np.minimum.at(least, place, ids)
-        tops = [vectors[r][1].argmax() + vectors.first[r] for r in one]
-        # Alike examples side by side make tight maxima.
-        order = np.lexsort((least, -vectors.weights[tops], vectors.features[tops])) if len(one) else one
-        self.vectors, self.n, self.ones, self.ids = vectors.take(one[order]), n[order].astype(np.float64), np.bincount(place, labels, len(n))[order], least[order]
+        self.vectors, self.n, self.ones, self.ids = vectors.take(full[one]), n.astype(np.float64), np.bincount(place, labels, len(n)), least
         self.points: tuple[np.ndarray, np.ndarray] | None = None
         self.post()
+        order = self._alike()
+        self.vectors, self.n, self.ones, self.ids = self.vectors.take(order), self.n[order], self.ones[order], self.ids[order]
+        self.post()
+
+    def _alike(self) -> np.ndarray:
+        """An order with alike examples side by side, which makes tight maxima: a few rounds of spherical k-means over the full rows."""
+        x = self.dense[:, : len(self.ids)].T
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        start = np.argsort(common.mix(self.ids.astype(np.uint64)), kind="stable")[: max(1, len(x) // (2 * BLOCK))]
+        centres, at = x[start], np.zeros(len(x), np.int64)
+        for _ in range(4):
+            if not len(x):
+                break
+            at = (x @ centres.T).argmax(1)
+            by = np.argsort(at, kind="stable")
+            some, first = np.unique(at[by], return_index=True)
+            centres = centres.copy()
+            centres[some] = np.add.reduceat(x[by], first, axis=0)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        return np.lexsort((self.ids, at))
 
     def post(self) -> None:
-        """Make the postings from the examples' rows."""
-        self.count = -(-len(self.ids) // BLOCK)
-        by = np.argsort(self.vectors.features, kind="stable").astype(np.int32)
-        feature, self.rows, self.weights = self.vectors.features[by], self.vectors.row().astype(np.int32)[by], self.vectors.weights[by]
-        # Runs of postings of one feature in one block.
-        block = (self.rows // BLOCK).astype(np.int16)
-        runs = np.flatnonzero((np.diff(feature, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)).astype(np.int32)
-        self.runs, self.block = np.append(runs, np.int32(len(feature))), block[runs]
-        self.most = np.maximum.reduceat(self.weights, runs) if len(runs) else self.weights
-        self.first = np.searchsorted(feature[runs], np.arange(len(self.idf) + 1))
+        """Make the posting rows, lists and block maxima from the examples' rows."""
+        n = len(self.ids)
+        self.count = -(-n // BLOCK)
+        often = np.bincount(self.vectors.features, minlength=self.features) > FULL * n
+        self.full = np.full(self.features, -1, np.int32)
+        self.full[often] = np.arange(often.sum())
+        rows, full = self.vectors.row(), self.full[self.vectors.features]
+        self.dense = np.zeros((int(often.sum()), self.count * BLOCK), np.float32)
+        on = np.flatnonzero(full >= 0)
+        self.dense[full[on], rows[on]] = self.vectors.weights[on]
+        self.most = self.dense.reshape(len(self.dense), self.count, BLOCK).max(2) if n else self.dense
+        rest = np.flatnonzero(full < 0)
+        rest = rest[np.argsort(self.vectors.features[rest], kind="stable")]
+        # An entry of a list: the example's place, and its weight in steps of 1 / STEPS.
+        self.lists = rows[rest].astype(np.uint32) << np.uint32(16) | np.rint(self.vectors.weights[rest] * STEPS).astype(np.uint32)
+        self.first = np.searchsorted(self.vectors.features[rest], np.arange(self.features + 1))
 
     def __getstate__(self) -> dict:
         """Workers make the postings anew, so that a broadcast holds the rows alone."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "weights", "runs", "block", "most", "first")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("full", "dense", "most", "lists", "first")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.post()
 
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * self.idf
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).astype(np.float32)
-
-    def nearest(self, x: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples of a dense vector."""
-        on = np.flatnonzero(x)
-        return self.search(on, x[on], skip)
-
-    def search(self, on: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples of a vector's features and weights, exact; ``skip`` is a place to leave out."""
-        n = self.first[on + 1] - self.first[on]
-        runs, weight = _ranges(self.first[on], n), np.repeat(weight, n)
-        block = self.block[runs]
-        bound = np.bincount(block, weight * self.most[runs], minlength=self.count)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        bound, turn = bound[order], np.full(self.count, self.count, np.int16)
-        turn[order] = np.arange(len(order))
-        turn = turn[block]
-        by = np.argsort(turn, kind="stable")
-        runs, weight, turn = runs[by], weight[by], turn[by]
-        ends = np.searchsorted(turn, np.arange(len(order) + 1))
-        at, cosine, low, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while done < len(order) and bound[done] >= low - 1e-5:
-            end = min(done + step, int(np.searchsorted(-bound, 1e-5 - low, side="right")))
-            some = slice(ends[done], ends[end])
-            n = self.runs[runs[some] + 1] - self.runs[runs[some]]
-            entry = _ranges(self.runs[runs[some]], n)
-            place = np.repeat((turn[some].astype(np.int64) - done) * BLOCK, n) + self.rows[entry] % BLOCK
-            got = np.bincount(place, np.repeat(weight[some], n) * self.weights[entry], minlength=(end - done) * BLOCK)
-            rows = (order[done:end, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (got >= max(low - 1e-5, 1e-9)) & (rows != skip)
-            at, cosine = np.concatenate((at, rows[keep])), np.concatenate((cosine, got[keep]))
-            if len(at) > NEAREST:
-                keep = np.lexsort((self.ids[at], -np.round(cosine, 5)))[:NEAREST]
-                at, cosine = at[keep], cosine[keep]
-            low = float(cosine.min()) if len(at) >= NEAREST else 0.0
-            done, step = end, step * 2
-        keep = np.lexsort((self.ids[at], -np.round(cosine, 5)))[:NEAREST]
-        return at[keep], cosine[keep]
-
-    def vote(self, on: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, cosine = self.search(on, weight, skip)
+    def search(self, queries: Rows, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and cosines of its nearest examples, exact; ``skip`` is a place to leave out of each.
+
+        Posting lists are added up. The block maxima of the full rows, times the query,
+        then bound what a block's examples can still gain; the blocks with the highest
+        bounds are completed first, and after that all others that can reach the k-th
+        best. What comes so near that rounding could matter is scored anew in double
+        precision, from the examples' own rows.
+        """
+        x = np.zeros(self.features)
+        for a in range(0, len(queries), TOGETHER):
+            some = queries.take(np.arange(a, min(a + TOGETHER, len(queries))))
+            size, width = len(some), self.count * BLOCK
+            slack = np.full(size, SLACK)  # what the sums below may be off
+            total, head = np.zeros((size, width), np.float32), np.zeros((size, len(self.dense)), np.float32)
+            for r in range(size):
+                features, weights = some[r]
+                full = self.full[features]
+                head[r, full[full >= 0]] = weights[full >= 0]
+                features, weights = features[full < 0], weights[full < 0]
+                n = self.first[features + 1] - self.first[features]
+                post = self.lists[np.repeat((self.first[features] - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]
+                gain = (post & np.uint32(STEPS)).astype(np.float32)
+                gain *= np.repeat((weights / STEPS).astype(np.float32), n)
+                total[r] = np.bincount(post >> np.uint32(16), gain, minlength=width)
+                slack[r] += weights.sum() / (2 * STEPS)
+            if skip is not None:
+                total[np.arange(size), skip[a : a + size]] = -9
+            blocks = total.reshape(size, self.count, BLOCK)
+            bound = blocks.max(2) + head @ self.most
+            k = min(LEAD, self.count)
+            lead = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+            done = np.zeros((size, self.count), bool)
+            done[np.arange(size)[:, None], lead] = True
+            self._complete(blocks, head, done)
+            best = np.take_along_axis(blocks, lead[:, :, None], 1).reshape(size, -1)
+            low = np.partition(best, best.shape[1] - NEAREST, axis=1)[:, -NEAREST] if best.shape[1] >= NEAREST else np.zeros(size)
+            low = np.maximum(low - 2 * slack, SLACK / 2)
+            more = (bound >= low[:, None]) & ~done
+            self._complete(blocks, head, more)
+            blocks[~(done | more)] = -1
+            row, place = np.nonzero(total >= low[:, None])
+            near, ends = total[row, place], np.searchsorted(row, np.arange(size + 1))
+            for r in range(size):
+                at, value = place[ends[r] : ends[r + 1]], near[ends[r] : ends[r + 1]]
+                if len(at) > NEAREST:
+                    at = at[value >= np.partition(value, len(value) - NEAREST)[-NEAREST] - 2 * slack[r]]
+                features, weights = some[r]
+                x[features] = weights
+                cosine = self._cosines(at, x)
+                x[features] = 0
+                at, cosine = at[cosine > 0], cosine[cosine > 0]
+                keep = np.lexsort((self.ids[at], -cosine))[:NEAREST]
+                yield at[keep], cosine[keep]
+
+    def _cosines(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Cosines of some examples with a dense vector, in double precision."""
         if not len(at):
-            return self.rate, at, cosine
-        weight = 1 / (1.02 - np.minimum(cosine.astype(np.float64), 1))
-        return float((weight * self.ones[at]).sum() / (weight * self.n[at]).sum()), at, cosine
+            return np.zeros(0)
+        starts, ends = self.vectors.first[at], self.vectors.first[at + 1]
+        rows = [slice(i, j) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        each = x[np.concatenate([self.vectors.features[i] for i in rows])] * np.concatenate([self.vectors.weights[i] for i in rows])
+        return np.round(np.add.reduceat(each, np.concatenate(([0], np.cumsum(ends - starts)[:-1]))), 9)
+
+    def _complete(self, blocks: np.ndarray, head: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the full rows to the wanted blocks of each query."""
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            rows = np.flatnonzero(wanted[:, b])
+            blocks[rows, b] += head[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+
+    def votes(self, queries: Rows, skip: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic neighbours by closeness, with the places and cosines of the neighbours; the rate of empty texts where there is none."""
+        if not len(self.ids):
+            yield from ((self.rate, np.zeros(0, np.int64), np.zeros(0)) for _ in range(len(queries)))
+            return
+        for at, cosine in self.search(queries, skip):
+            weight = 1 / (1.02 - np.minimum(cosine, 1))
+            yield float((weight * self.ones[at]).sum() / (weight * self.n[at]).sum()) if len(at) else self.rate, at, cosine
 
     def calibrate(self) -> None:
         """Pool adjacent violators over the votes of a spread of the examples, each without itself."""
-        some = np.unique(np.linspace(0, len(self.ids) - 1, CALIBRATE).astype(np.int64)) if len(self.ids) else []
-        triples = sorted((self.vote(*self.vectors[k], k)[0], float(self.ones[k] / self.n[k]), float(self.n[k])) for k in some)
+        some = np.unique(np.linspace(0, len(self.ids) - 1, CALIBRATE).astype(np.int64)) if len(self.ids) else np.zeros(0, np.int64)
+        found = self.votes(self.vectors.take(some), some)
+        triples = sorted((v, float(self.ones[k] / self.n[k]), float(self.n[k])) for k, (v, _, _) in zip(some.tolist(), found, strict=True))
         pools: list[list[float]] = []
         for v, y, n in triples:
             pools.append([v, y, n])
@@ -211,10 +275,10 @@ class Index:
         if pools:
             self.points = np.array([p[0] for p in pools]), np.array([(p[1] * p[2] + 0.01) / (p[2] + 0.02) for p in pools])
 
-    def score(self, on: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score of a vector's features and weights, with places and cosines of its evidence."""
-        v, at, cosine = self.vote(on, weight)
-        return float(np.interp(v, *self.points)) if len(at) and self.points is not None else v, at, cosine
+    def scores(self, queries: Rows) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated score of each query, with places and cosines of its evidence."""
+        for v, at, cosine in self.votes(queries):
+            yield float(np.interp(v, *self.points)) if len(at) and self.points is not None else float(v), at, cosine
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None:
@@ -225,7 +289,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
     mine = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = rows.join(F.broadcast(common.materialize(mine)), "doc_id")  # at most EXAMPLES rows are broadcast
-    sample = common.materialize(sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).drop("h"))  # copies would pass for evidence
+    # Copies would pass for evidence; the smallest id names a text.
+    sample = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    sample = common.materialize(sample.select("doc_id", "toxic", "text"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,14 +322,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
         for batch in batches:
             rows += batch.num_rows
             for _, _, _, slot, _ in _counts(batch.column("text")):
-                total += np.bincount(slot, minlength=SLOTS).astype(np.int32)
+                np.add.at(total, slot, np.int32(1))
         on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows], pa.int64())], names=["slot", "n"])
         for k in range(0, len(on), FREQUENCY_ROWS):
             part = on[k : k + FREQUENCY_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names=["slot", "n"])
 
-    df = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequency, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    df = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequency, "slot int, n long").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()  # at most SLOTS + 1 rows of 8 bytes
     found = np.zeros(SLOTS + 1, np.float32)
     found[df.column("slot").to_numpy()] = df.column("n").to_numpy()  # -1, the number of documents, is the last place
     scale *= np.log((found[-1] + 1) / (found[:-1] + 1)) + 1
@@ -276,14 +342,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "toxic", "slots", "counts"])
 
     got = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, slots binary, counts binary").toArrow()  # at most EXAMPLES rows
-    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
+    got = got.take(np.lexsort((got.column("toxic").to_numpy(), got.column("doc_id").to_numpy())))
     words, counts = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("slots", "counts"))
     first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got.column("slots").to_pylist()], dtype=np.int64)))
     slots = np.unique(words)
     features = np.searchsorted(slots, words).astype(np.int32)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     vectors = Rows(first, features, _weights(row, counts, scale[words], len(first) - 1))
-    index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), scale[slots], slots)
+    index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), slots, len(slots))
     index.calibrate()
     return scale, index
 
@@ -297,17 +363,15 @@ def _scorer(docs: DataFrame, labels: DataFrame):
             yield from ((0.0, []) for _ in range(len(column)))
             return
         scale, index = model.value
+        known, parts = np.append(index.slots, -1), [(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for _, size, row, slot, counts in _counts(column):
             weights = _weights(row, counts, scale[slot], size)
             feature = np.searchsorted(index.slots, slot)
-            held = np.flatnonzero(np.append(index.slots, -1)[feature] == slot)
-            feature, weights, ends = feature[held], weights[held], np.searchsorted(row[held], np.arange(size + 1)).tolist()
-            for i, j in zip(ends[:-1], ends[1:], strict=True):
-                if i == j:
-                    yield float(index.rate), []
-                    continue
-                value, at, cosine = index.score(feature[i:j], weights[i:j])
-                yield value, [{"doc_id": int(index.ids[k]), "label": round(float(index.ones[k] / index.n[k]), 5), "cosine": round(float(c), 5)} for k, c in zip(at[:3], cosine[:3], strict=True)]
+            held = np.flatnonzero(known[feature] == slot)
+            parts.append((np.searchsorted(row[held], np.arange(1, size + 1)) + parts[-1][0][-1], feature[held], weights[held]))
+        queries = Rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for value, at, cosine in index.scores(queries):
+            yield value, [{"doc_id": int(index.ids[k]), "label": round(float(index.ones[k] / index.n[k]), 5), "cosine": round(float(c), 5)} for k, c in zip(at[:3], cosine[:3], strict=True)]
 
     return run
 
