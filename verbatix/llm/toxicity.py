@@ -26,7 +26,9 @@ copies score alike; an empty table gives no rows; extra columns are ignored by
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,8 @@ STEPS = (1 << 16) - 1
 THRESHOLD = 0.3
 #: Examples that the calibration scores.
 CALIBRATE = 3000
-#: Rows in a batch of word counts.
-FREQUENCY_ROWS = 1 << 16
+#: Rows in a batch of word counts, and bytes in a piece of the pickled index.
+FREQUENCY_ROWS, PIECE = 1 << 16, 4 << 20
 
 
 def _slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -281,7 +283,7 @@ class Index:
             yield float(np.interp(v, *self.points)) if len(at) and self.points is not None else float(v), at, cosine
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None:
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The scale of each slot, and the index of labelled examples; None without labelled rows."""
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -341,17 +343,38 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Index] | None
                 cols = ([x[i:j].astype(np.int32).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)] for x in (slot, counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "toxic", "slots", "counts"])
 
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, slots binary, counts binary").toArrow()  # at most EXAMPLES rows
-    got = got.take(np.lexsort((got.column("toxic").to_numpy(), got.column("doc_id").to_numpy())))
-    words, counts = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("slots", "counts"))
-    first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got.column("slots").to_pylist()], dtype=np.int64)))
-    slots = np.unique(words)
-    features = np.searchsorted(slots, words).astype(np.int32)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    vectors = Rows(first, features, _weights(row, counts, scale[words], len(first) - 1))
-    index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), slots, len(slots))
-    index.calibrate()
-    return scale, index
+    shared = spark.sparkContext.broadcast(scale)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pickled index, in pieces. A task builds it, so that the driver only passes it on."""
+        got = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())]))
+        got = got.take(np.lexsort((got.column("toxic").to_numpy(), got.column("doc_id").to_numpy())))
+        words, counts = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("slots", "counts"))
+        first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got.column("slots").to_pylist()], dtype=np.int64)))
+        slots = np.unique(words)
+        row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        vectors = Rows(first, np.searchsorted(slots, words).astype(np.int32), _weights(row, counts, shared.value[words], len(first) - 1))
+        index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), slots, len(slots))
+        index.calibrate()
+        blob = pickle.dumps(index, protocol=5)
+        for k in range(0, len(blob), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blob[k : k + PIECE]], pa.binary())], names=["at", "piece"])
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, slots binary, counts binary")
+    pieces = rows.repartition(1).mapInArrow(build, "at long, piece binary").toArrow()  # of at most EXAMPLES rows
+    pieces = pieces.take(np.argsort(pieces.column("at").to_numpy()))
+    return Model(scale, b"".join(pieces.column("piece").to_pylist()))
+
+
+class Model:
+    """The scale of each slot, and the index, unpickled where it is first used."""
+
+    def __init__(self, scale: np.ndarray, blob: bytes):
+        self.scale, self.blob = scale, blob
+
+    @cached_property
+    def index(self) -> Index:
+        return pickle.loads(self.blob)
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
@@ -362,7 +385,7 @@ def _scorer(docs: DataFrame, labels: DataFrame):
         if model.value is None:
             yield from ((0.0, []) for _ in range(len(column)))
             return
-        scale, index = model.value
+        scale, index = model.value.scale, model.value.index
         known, parts = np.append(index.slots, -1), [(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for _, size, row, slot, counts in _counts(column):
             weights = _weights(row, counts, scale[slot], size)
