@@ -43,10 +43,26 @@ def test_catalogue_and_plurals(spark, tmp_path):
 
 def test_scores_have_all_groups(spark):
     df = spark.createDataFrame([(1, "C0", "c", "a", "Aa", ""), (2, "C1", "c", "%1", "b", "")], SEGMENT)
-    scores = metrics.structure_scores(df, checks.checks(df)).collect()
+    totals = metrics.facts(checks.checked(df))
+    scores = metrics.structure_scores(totals).collect()
     assert len(scores) == 16 and {r.score for r in scores} == {0.0, 100.0}
-    pair = metrics.compare(metrics.structure_scores(df, checks.checks(df)), metrics.summary(df, checks.checks(df)), "C0").first()
+    assert metrics.structure_scores(totals, completion=True).count() == 18
+    pair = metrics.compare(totals, "C0").first()
     assert pair.condition_id == "C1" and pair.relative_reduction == 1.0
+    again = metrics.facts(metrics.attach(df, checks.checks(df)))
+    assert sorted(map(tuple, again.select(totals.columns).collect())) == sorted(map(tuple, totals.collect()))
+
+
+def test_failed_rate_counts_segments_of_all_groups(spark):
+    rows = [(1, "C0", "c", "%1", "a", ""), (2, "C0", "c", "x\ny", "x y", ""), (3, "C0", "c", "same", "Same", ""), *((k, "C1", "c", "a", "Aa", "") for k in (1, 2, 3))]
+    pair = metrics.compare(metrics.facts(checks.checked(spark.createDataFrame(rows, SEGMENT))), "C1").first()
+    assert pair.failed == 2 and abs(pair.failed_rate - 2 / 3) < 1e-12  # two groups, one segment each
+
+
+def test_plurals_and_residue(spark):
+    df = spark.createDataFrame([(1, "C0", "c", "%n files", "%n x ||| y", "", ["%n x", "y"]), (2, "C0", "c", "Open this file now", "開啟 Open this file now", "", ["開啟 Open this file now"]), (3, "C0", "c", "Open", "Open - 開啟", "", None)], SEGMENT + ", forms array<string>")
+    found = {(r.idx, r.issue_type, r.form_index) for r in checks.checks(df).collect()}
+    assert found == {(1, "missing_qt_placeholder", 2), (2, "high_english_residue", 0), (3, "bilingual_residue", 0)}
 
 
 def test_glossary_longest_first(spark):
@@ -72,7 +88,41 @@ def test_judge(spark):
     rows = [("1", good), ("2", f"```json\n{good}\n```"), ("3", "no"), ("4", None)]
     out = {r.k: r for r in judge.normalize(spark.createDataFrame(rows, "k string, reply string")).collect()}
     assert (out["1"].points, out["1"].score, out["1"].warnings) == (5.0, 80.0, 1) and out["2"].points == 5.0
-    assert out["3"].points is None and not out["4"].valid
+    assert out["3"].points is None and not out["4"].valid and out["3"].score is None
+    rows = [("1", '{"errors":[{"severity":"Major"}]}'), ("2", '{"acceptability":"Reject"}'), ("3", '{"errors":[1,{"category":"A"}]}'), ("4", '{"errors":"x"}'), ("5", '{"_error":"x"}'), ("6", '{"errors":[{"severity":null}]}')]
+    out = {r.k: (r.points, r.warnings) for r in judge.normalize(spark.createDataFrame(rows, "k string, reply string")).collect()}
+    assert out == {"1": (5.0, 0), "2": (0.0, 1), "3": (0.0, 1), "4": (0.0, 1), "5": (None, 0), "6": (0.0, 1)}
+
+
+def test_envelopes_and_languages(spark):
+    rows = [('{"output_text":"a"}',), ('{"choices":[{"message":{"content":"b"}}]}',), ('{"output":[{"content":[{"text":"c"}]}]}',), ("d",)]
+    assert [r.x for r in spark.createDataFrame(rows, "s string").select(judge.reply_text(F.col("s")).alias("x")).collect()] == list("abcd")
+    files = spark.createDataFrame([("a.ts", "zh_TW"), ("b.ts", "de"), ("c.ts", None)], "ts_file string, language string")
+    assert [r.ts_file for r in checks.language_issues(files).collect()] == ["b.ts", "c.ts"]
+
+
+def test_accelerators_and_parts(spark):
+    rows = spark.createDataFrame([("A &amp; B&&C &Save E&xit &",), ("&&&x",)], "s string").select(candidates.without_accelerators(F.col("s")).alias("w")).collect()
+    assert rows[0].w.text == "A &amp; B&&C Save Exit " and rows[0].w.tokens == ["&S", "&x", "&"] and rows[1].w.text == "&&x"
+    back = spark.createDataFrame([("A &amp; B ", ["&a"]), ("x(&S)", ["&S"]), ("y", [])], "s string, t array<string>").select(candidates.with_accelerators(F.col("s"), F.col("t")).alias("x")).collect()
+    assert [r.x for r in back] == ["A &amp; B(&a) ", "x(&S)", "y"]
+    df = spark.createDataFrame([("Open %1 file<b>42</b>",), ("%1",), ("",)], "s string").withColumn("sp", candidates.mask_spans("s"))
+    got = [[(x.id, x.text, x.left_token_slot, x.right_token_slot) for x in r.x] for r in df.select(candidates.text_requests(candidates.parts(F.col("s"), F.col("sp"))).alias("x")).collect()]
+    assert got == [[("T0", "Open ", "", "TOK_0"), ("T1", " file", "TOK_0", "TOK_1")], [], []]
+
+
+def test_fallback_terms_and_request_positions(spark):
+    df = spark.createDataFrame([(1, "C0", "c", "開啟圖層", "x", ""), (2, "C0", "c", "圖", "x", ""), (3, "C0", "c", "", "x", "")], SEGMENT)
+    g = spark.createDataFrame([(1, "圖層"), (2, "圖"), (3, "開圖"), (4, "layer")], "entry_pos int, source_term string")
+    assert {(r.idx, r.entry_pos) for r in glossary.fallback_hits(df, g).collect()} == {(1, 1), (1, 2), (2, 2)}
+    rows = spark.createDataFrame([((i * 37) % 101, f"C{i % 2}") for i in range(101)], "idx long, condition_id string")
+    one = sorted(map(tuple, sampling.request_rows(rows, "run_01").collect()))
+    sampling.RANGE_ROWS, kept = 10, sampling.RANGE_ROWS
+    try:
+        assert sorted(map(tuple, sampling.request_rows(rows, "run_01").collect())) == one
+    finally:
+        sampling.RANGE_ROWS = kept
+    assert sorted(r[2] for r in one if r[0] == "C0") == list(range(1, 52))
 
 
 def test_masking_restores(spark):

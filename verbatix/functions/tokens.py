@@ -21,45 +21,47 @@ ESCAPED_CONTROL = r"\\[nrt]"
 COPY_OK = r"(?:[A-Z0-9_+\-./:%#(){}\[\]<>*|\\ ]+|[A-Za-z0-9_+\-./:%#(){}\[\]<>*|\\ ]{1,12})"
 CHECKED_ENTITIES = ("&lt;", "&gt;", "&amp;", "&quot;", "&apos;", "&nbsp;")
 HTML_TAGS = (
-    "html head body p br hr h1 h2 h3 h4 h5 h6 a span div b i u strong em code pre ul ol li "
-    "table thead tbody tr td th font style img blockquote"
-).split()
+    "html", "head", "body", "p", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "a", "span", "div", "b", "i", "u", "strong", "em",
+    "code", "pre", "ul", "ol", "li", "table", "thead", "tbody", "tr", "td", "th", "font", "style", "img", "blockquote",
+)
 
 _ASTRAL = "\U00020bb7"
 NUMBER = rf"(?U)(?<![%\w{_ASTRAL}])[-+]?\d+(?:[.,]\d+)?(?![%\w{_ASTRAL}])"
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+def _all(text: Column, pattern: str, group: int = 0, sign: str | None = None) -> Column:
+    """All matches; texts without the ``sign`` that every match holds don't go through the pattern."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.coalesce(found if sign is None else F.when(text.contains(sign), found), F.array().cast("array<string>"))
 
 
 def qt_tokens(text: Column) -> Column:
     """Numbered and plural placeholders."""
-    return _all(text, f"(?U){QT}")
+    return _all(text, f"(?U){QT}", sign="%")
 
 
 def brace_tokens(text: Column) -> Column:
     """Brace placeholders on one line."""
-    return _all(text, BRACE)
+    return _all(text, BRACE, sign="{")
 
 
 def printf_tokens(text: Column) -> Column:
     """Printf conversions that are not numbered placeholders."""
-    return F.filter(_all(text, f"(?U){PRINTF}"), lambda t: ~t.rlike(rf"(?U)\A(?:{QT})\z"))
+    return F.filter(_all(text, f"(?U){PRINTF}", sign="%"), lambda t: ~t.rlike(rf"(?U)\A(?:{QT})\z"))
 
 
 def entity_tokens(text: Column) -> Column:
     """Those entities that a translation must keep."""
-    return F.filter(_all(text, ENTITY), lambda t: t.isin(*CHECKED_ENTITIES))
+    return F.filter(_all(text, ENTITY, sign="&"), lambda t: t.isin(*CHECKED_ENTITIES))
 
 
 def tag_names(text: Column) -> Column:
     """Lower-cased names of known tags; opening and closing ones both count."""
-    return F.filter(F.transform(_all(text, f"(?U){TAG}", 1), F.lower), lambda t: t.isin(*HTML_TAGS))
+    return F.filter(F.transform(_all(text, f"(?U){TAG}", 1, sign="<"), F.lower), lambda t: t.isin(*HTML_TAGS))
 
 
 def raw_tags(text: Column) -> Column:
-    return _all(text, RAW_TAG)
+    return _all(text, RAW_TAG, sign="<")
 
 
 def number_tokens(text: Column) -> Column:
@@ -69,12 +71,12 @@ def number_tokens(text: Column) -> Column:
 
 def accelerator_tokens(text: Column) -> Column:
     """Keyboard mnemonics: an ampersand with its letter, not a doubled one or an entity."""
-    found = _all(text, rf"(?U)&&|{ENTITY}|&\S|&")
+    found = _all(text, rf"(?U)&&|{ENTITY}|&\S|&", sign="&")
     return F.filter(found, lambda t: (t != "&&") & ~t.rlike(rf"\A{ENTITY}\z"))
 
 
 def escaped_controls(text: Column) -> Column:
-    return _all(text, ESCAPED_CONTROL)
+    return _all(text, ESCAPED_CONTROL, sign="\\")
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -90,7 +92,7 @@ def cjk_count(text: Column) -> Column:
 
 
 def newline_count(text: Column) -> Column:
-    return count_of(text, "\n")
+    return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0))
 
 
 def normalized(text: Column) -> Column:
@@ -98,10 +100,23 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
-def bag_minus(a: Column, b: Column) -> Column:
-    """Multiset difference in first-seen order: each token as often as ``a`` has it more than ``b``."""
-    times = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    return F.flatten(F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), times(a, x) - times(b, x)))))
+def _numbered(bag: str) -> str:
+    """SQL of each token with its number among equal ones, in sorted order; one sort and passes over it.
+
+    ``transform(array(x), v -> ...)[0]`` binds a value that is computed once.
+    """
+    starts = "filter(if(size(s) > 0, sequence(0, size(s) - 1), cast(array() as array<int>)), i -> i = 0 or s[i] <> s[i - 1])"
+    numbers = "flatten(transform(at, (i, k) -> sequence(1, coalesce(get(at, k + 1), size(s)) - i)))"
+    return f"transform(array(array_sort({bag})), s -> transform(array({starts}), at -> zip_with(s, {numbers}, (x, k) -> concat(x, '\\u0001', k)))[0])[0]"
+
+
+def bag_minus_sql(a: str, b: str) -> str:
+    """SQL of ``bag_minus``; ``a`` and ``b`` name columns, fields or lambda variables."""
+    number = "substring_index(x, '\\u0001', -1)"
+    token = f"left(x, length(x) - length({number}) - 1)"
+    listed = f"transform(lost, x -> named_struct('at', array_position({a}, {token}), 'k', int({number}), 'token', {token}))"
+    rest = f"transform(array(array_except({_numbered(a)}, {_numbered(b)})), lost -> transform(array_sort({listed}), x -> x.token))[0]"
+    return f"if({a} = {b} or size({a}) = 0, cast(array() as array<string>), {rest})"
 
 
 def stable_id(context: Column, source: Column, index: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Input rows are segments: idx, condition_id, context, source, translation, translation_type,
 optionally ``forms`` (plural forms). Each check is a conditional struct; one array
-of them is filtered and exploded, so no check needs a join or a second scan.
+of them is filtered, and aggregated as it is or exploded, so no check needs a join or a
+second scan.
 """
 
 from __future__ import annotations
@@ -24,56 +25,74 @@ CONTENT = ("possibly_untranslated", "bilingual_residue", "high_english_residue",
 LANGUAGES = ("zh_TW", "zh-TW", "zh-Hant", "zh_Hant")
 
 
-def _issue(when: Column, ordinal: int, kind: str, severity: str, lost: Column | None = None, form: Column | None = None) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(when, F.struct(F.lit(ordinal).alias("check_ordinal"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), (none if lost is None else lost).alias("tokens"), (F.lit(0) if form is None else form).cast("int").alias("form_index")))
+def _issue(when: Column, ordinal: int, kind: str, severity: str) -> Column:
+    return F.when(when, F.expr(_struct(ordinal, kind, severity, _NONE, "0")))
 
 
-def _pairs(source: Column, target: Column, profile: dict, form: Column | None = None) -> list[Column]:
-    """Checks that compare tokens of a source with those of a translation (or of one plural form)."""
-    out, at = [], 10
-    for kind in (*GROUPS[:6], "escaped_control"):
-        if kind == "escaped_control" and not profile["controls"]:
+_NONE = "cast(array() as array<string>)"
+
+
+def _struct(ordinal: int, kind: str, severity: str, tokens: str, form: str) -> str:
+    return f"named_struct('check_ordinal', {ordinal}, 'issue_type', '{kind}', 'severity', '{severity}', 'tokens', {tokens}, 'form_index', {form})"
+
+
+def _severities(kind: str, profile: dict) -> tuple[str, str]:
+    if kind == "number":
+        return "major", "minor"
+    if kind == "escaped_control":
+        return "major", "major"
+    return profile["entity" if kind.startswith("html") else "placeholder"]
+
+
+def _pairs(kinds: list[str], profile: dict, number: str) -> str:
+    """SQL of the checks that compare tokens of a source (struct ``_own``) with those of a translation or one plural form (struct ``f``)."""
+    out = []
+    for at, kind in enumerate(kinds):
+        a, b = f"_own.{kind}", f"f.{kind}"
+        lost, more = T.bag_minus_sql(a, b), T.bag_minus_sql(b, a)
+        if kind == "accelerator":
+            out.append(_struct(31, "accelerator_count_mismatch", "minor", f"concat({lost}, {more})", number))
             continue
-        if kind == "number":
-            missing, extra = "major", "minor"
-        elif kind == "escaped_control":
-            missing, extra = "major", "major"
-        else:
-            missing, extra = profile["entity" if kind.startswith("html") else "placeholder"]
-        a, b = T.EXTRACTORS[kind](source), T.EXTRACTORS[kind](target)
-        lost, more = T.bag_minus(a, b), T.bag_minus(b, a)
-        out += [_issue(F.size(lost) > 0, at, f"missing_{kind}", missing, lost, form), _issue(F.size(more) > 0, at + 1, f"extra_{kind}", extra, more, form)]
-        at += 2
-    out.append(_issue(T.newline_count(source) != T.newline_count(target), 30, "newline_count_mismatch", "minor", None, form))
-    a, b = T.accelerator_tokens(source), T.accelerator_tokens(target)
-    lost = F.concat(T.bag_minus(a, b), T.bag_minus(b, a))
-    out.append(_issue(F.size(lost) > 0, 31, "accelerator_count_mismatch", "minor", lost, form))
-    return out
+        missing, extra = _severities(kind, profile)
+        out += [_struct(10 + 2 * at, f"missing_{kind}", missing, lost, number), _struct(11 + 2 * at, f"extra_{kind}", extra, more, number)]
+    line = _struct(30, "newline_count_mismatch", "minor", _NONE, number)
+    return f"array_sort(filter(array({', '.join(out)}, if(_own.newline <> f.newline, {line}, null)), x -> size(x.tokens) > 0 or x.check_ordinal = 30))"
 
 
-def checks(segments: DataFrame, profile: str = "evaluator") -> DataFrame:
-    """The long issue table: idx, condition_id, context, check_ordinal, form_index, issue_type, severity, tokens."""
+def checked(segments: DataFrame, profile: str = "evaluator") -> DataFrame:
+    """Segments with ``issues``, an array of (check_ordinal, issue_type, severity, tokens, form_index) in check order.
+
+    Tokens of both sides are projected once; comparisons then read these columns, so a
+    text goes through each pattern a single time.
+    """
     rules = PROFILES[profile]
+    kinds = [*GROUPS[:6], *(["escaped_control"] if rules["controls"] else []), "accelerator"]
     src, out = F.coalesce("source", F.lit("")), F.coalesce("translation", F.lit(""))
     s, t = T.normalized(src), T.normalized(out)
-    cjk, latin = T.cjk_count(t), T.latin_count(t)
-    same = (s == t) & (s != "") & ~s.rlike(rf"\A{T.COPY_OK}\z")
+    plural = "forms" in segments.columns
+    forms = F.when(F.size("forms") > 1, F.col("forms")).otherwise(F.array(out)) if plural else F.array(out)
+    tokens = lambda text: F.struct(*(T.EXTRACTORS[k](text).alias(k) for k in kinds), T.newline_count(text).alias("newline"))
+    base = segments.withColumns({"_own": tokens(src), "_forms": F.transform(forms, tokens), "_s": s, "_t": t, "_cjk": T.cjk_count(t)})
+    same = (F.col("_s") == F.col("_t")) & (F.col("_s") != "") & ~F.col("_s").rlike(rf"\A{T.COPY_OK}\z")
+    residue = [F.col("_t").startswith(F.concat(F.col("_s"), F.lit(f" {dash}"))) for dash in "-–—"]
     found = [
-        _issue(t == "", 1, "empty_translation", "critical"),
+        _issue(F.col("_t") == "", 1, "empty_translation", "critical"),
         _issue(F.col("translation_type") == "unfinished", 2, "unfinished_translation", "major"),
         _issue(F.col("translation_type") == "missing_translation_element", 3, "missing_translation_element", "critical"),
         _issue(same, 4, "possibly_untranslated", "major"),
-        _issue((s != "") & (t.startswith(F.concat(s, F.lit(" -"))) | t.startswith(F.concat(s, F.lit(" –"))) | t.startswith(F.concat(s, F.lit(" —")))), 5, "bilingual_residue", "major"),
-        _issue((cjk > 0) & (latin > F.greatest(F.lit(12.0), cjk * 1.2)) & ~src.rlike("SQL|HTML|API|CRS"), 6, "high_english_residue", "minor"),
+        _issue((F.col("_s") != "") & (residue[0] | residue[1] | residue[2]), 5, "bilingual_residue", "major"),
+        _issue((F.col("_cjk") > 0) & (T.latin_count(F.col("_t")) > F.greatest(F.lit(12.0), F.col("_cjk") * 1.2)) & ~src.rlike("SQL|HTML|API|CRS"), 6, "high_english_residue", "minor"),
     ]
-    if "forms" in segments.columns:
-        per_form = F.transform(F.when(F.size("forms") > 1, F.col("forms")).otherwise(F.array(out)), lambda f, i: F.array(*_pairs(src, f, rules, i + 1)))
-        found_all = F.concat(F.array(*found), F.flatten(per_form))
-    else:
-        found_all = F.array(*found, *_pairs(src, out, rules))
+    per_form = F.expr(f"flatten(transform(_forms, (f, i) -> {_pairs(kinds, rules, 'i + 1' if plural else '0')}))")
+    issues = F.concat(F.array_compact(F.array(*found)), per_form)
+    return base.select(*segments.columns, issues.alias("issues"))
+
+
+def checks(segments: DataFrame, profile: str = "evaluator") -> DataFrame:
+    """The long issue table: idx, condition_id, context, check_ordinal, form_index, issue_type, severity, tokens."""
     keep = [c for c in ("ts_file", "segment_id", "idx", "condition_id", "context") if c in segments.columns]
-    return segments.select(*keep, F.inline(F.filter(found_all, lambda x: x.isNotNull())))
+    # Not ``inline``: it would have the arrays computed a second time, for a filter on their size.
+    return checked(segments, profile).select(*keep, F.inline_outer("issues")).where("issue_type is not null")
 
 
 def language_issues(files: DataFrame, target: str = "zh_TW") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -11,53 +11,63 @@ from ..functions import terms
 BROADCAST_KEYS = 200_000
 
 
-def keyed(glossary: DataFrame, fold: bool = True) -> DataFrame:
-    """(entry_pos, key, size): canonical keys of entries (entry_pos, source_term)."""
-    tokens = terms.canonical(terms.term_tokens(F.col("source_term"), fold))
-    return glossary.select("entry_pos", tokens.alias("t")).where(F.size("t") > 0).select("entry_pos", F.array_join("t", " ").alias("key"), F.size("t").alias("size"))
+def keyed(glossary: DataFrame, fold: bool = True, colon: bool = False) -> DataFrame:
+    """(entry_pos, key, size): canonical keys of entries (entry_pos, source_term) as arrays of tokens."""
+    tokens = terms.canonical(terms.term_tokens(F.col("source_term"), fold, colon))
+    return glossary.select("entry_pos", tokens.alias("key")).where(F.size("key") > 0).withColumn("size", F.size("key"))
 
 
 def deduplicated(glossary: DataFrame) -> DataFrame:
     """The first entry of each (folded term, targets, forbidden), by position."""
-    w = Window.partitionBy(F.lower("source_term"), "target_terms", "forbidden_terms").orderBy("entry_pos")
+    w = Window.partitionBy(terms.folded_case(F.col("source_term")), "target_terms", "forbidden_terms").orderBy("entry_pos")
     return glossary.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def hits(segments: DataFrame, glossary: DataFrame, cap: int | None = None, raw_too: bool = True, fold: bool = True) -> DataFrame:
+def hits(segments: DataFrame, glossary: DataFrame, cap: int | None = None, raw_too: bool = True, fold: bool = True, colon: bool = False) -> DataFrame:
     """(idx, condition_id, entry_pos, size, rank): entries whose term stands in the source, longest first.
 
-    Only n-gram lengths that some key has are made. ``raw_too`` also matches keys against
-    tokens that are not reduced. Each (segment, entry) counts once.
+    At each token the run of as many tokens as the longest key has is cut out; the join
+    goes by the first token, and only what it leaves is compared in full. ``raw_too``
+    also matches keys against tokens that are not reduced. Each (segment, entry) counts
+    once; hits of a segment are gathered in one shuffle and ranked there.
     """
-    keys = keyed(glossary, fold)
-    sizes = sorted(r.size for r in keys.select("size").distinct().collect())  # lengths of terms: a handful
-    if not sizes:
+    keys = keyed(glossary, fold, colon)
+    bound = keys.agg(F.max("size").alias("longest"), F.count("*").alias("n")).first()
+    if not bound.n:
         return segments.select("idx", "condition_id").limit(0).selectExpr("idx", "condition_id", "0 AS entry_pos", "0 AS size", "1 AS rank")
-    raw = terms.term_tokens(F.col("source"), fold)
-    base = segments.select("idx", "condition_id", raw.alias("raw")).withColumn("one", terms.canonical(F.col("raw")))
+    base = segments.select("idx", "condition_id", terms.term_tokens(F.col("source"), fold, colon).alias("raw")).withColumn("one", terms.canonical(F.col("raw")))
 
-    def grams(col: str):
-        def of(n: int):
-            runs = F.transform(F.sequence(F.lit(1), F.size(col) - n + 1), lambda i: F.array_join(F.slice(F.col(col), i, n), " "))
-            return F.when(F.size(col) >= n, runs).otherwise(F.array().cast("array<string>"))
+    def runs(name: str) -> Column:
+        at = F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.slice(F.col(name), i, bound.longest))
 
-        return F.concat(*(of(n) for n in sizes))
+    every = F.array_distinct(F.concat(runs("one"), runs("raw"))) if raw_too else runs("one")
+    probes = base.select("idx", "condition_id", F.explode(every).alias("run")).withColumn("first", F.get("run", F.lit(0)))
+    keys = keys.withColumn("first", F.get("key", F.lit(0)))
+    found = probes.join(F.broadcast(keys) if bound.n <= BROADCAST_KEYS else keys, "first").where(F.slice("run", F.lit(1), F.col("size")) == F.col("key"))
+    own = found.groupBy("condition_id", "idx").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("less"), "entry_pos"))).alias("hits"))
+    own = own.withColumn("hits", F.slice("hits", 1, cap)) if cap is not None else own
+    ranked = own.select("condition_id", "idx", F.posexplode("hits").alias("place", "hit"))
+    return ranked.select("idx", "condition_id", F.col("hit.entry_pos").alias("entry_pos"), (-F.col("hit.less")).alias("size"), (F.col("place") + 1).alias("rank"))
 
-    every = F.array_distinct(F.concat(grams("one"), grams("raw")) if raw_too else grams("one"))
-    exploded = base.select("idx", "condition_id", F.explode(every).alias("key"))
-    few = keys.count() <= BROADCAST_KEYS
-    found = exploded.join(F.broadcast(keys) if few else keys, "key").select("idx", "condition_id", "entry_pos", "size").distinct()
-    w = Window.partitionBy("condition_id", "idx").orderBy(F.desc("size"), "entry_pos")
-    ranked = found.withColumn("rank", F.row_number().over(w))
-    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
+
+#: Characters that the start of a fallback term has in the index.
+LEAD = 2
 
 
 def fallback_hits(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Entries without tokens (such as Han terms) that stand in the source as they are. The list of such entries is broadcast up to its bound."""
-    odd = glossary.where(F.size(terms.term_tokens(F.col("source_term"))) == 0).where("trim(source_term) != ''").select("entry_pos", F.trim("source_term").alias("term"))
-    if odd.count() > BROADCAST_KEYS:
-        raise ValueError("too many terms without tokens")
-    return segments.join(F.broadcast(odd), F.col("source").contains(F.col("term"))).select("idx", "condition_id", "entry_pos")
+    """(idx, condition_id, entry_pos): entries without tokens (such as Han terms) that stand in the source as they are.
+
+    The distinct pairs of characters of a source join the first characters of the terms;
+    what meets there is compared in full, so the work follows the matches, not the product.
+    """
+    odd = glossary.where(F.size(terms.term_tokens(F.col("source_term"))) == 0).select("entry_pos", F.trim("source_term").alias("term")).where("term != ''")
+    odd = odd.withColumn("lead", F.substring("term", 1, LEAD))
+    at = F.when(F.length("source") > 0, F.sequence(F.lit(1), F.length("source"))).otherwise(F.array().cast("array<int>"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col("source"), i, F.lit(1)), F.substring(F.col("source"), i, F.lit(LEAD))))))
+    probes = segments.select("idx", "condition_id", F.explode(grams).alias("lead"))
+    near = probes.join(odd, "lead").select("idx", "condition_id", "entry_pos", "term").distinct()
+    return near.join(segments.select("idx", "condition_id", "source"), ["idx", "condition_id"]).where(F.col("source").contains(F.col("term"))).select("idx", "condition_id", "entry_pos")
 
 
 def term_checks(segments: DataFrame, found: DataFrame, glossary: DataFrame) -> DataFrame:

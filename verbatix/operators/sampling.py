@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A sampling window has at most so many messages; its positions are what a plan holds on the driver.
 WINDOW = 10_000
+#: Up to so many rows a condition is numbered in one range.
+RANGE_ROWS = 1_000_000
 # Quotas of the strata, in order.
 QUOTAS = {"numerus": 0.10, "qt_placeholder": 0.14, "accelerator": 0.12, "html_xml": 0.10, "glossary": 0.18, "number_code_newline": 0.16, "long": 0.10, "ordinary": 0.10}
 _RANKS = {"critical": 0, "major": 1, "minor": 2, "info": 3}
@@ -82,13 +84,35 @@ def budget(calls: int, files: int, repeats: int) -> int:
 
 
 def request_rows(sample: DataFrame, run_id: str, order: str = "idx") -> DataFrame:
-    """Request keys of a sample: run, position in it, and segment."""
-    position = F.row_number().over(Window.partitionBy("condition_id").orderBy(order))
-    rows = sample.withColumn("sample_position", position)
+    """Request keys of a sample: run, position in it, and segment.
+
+    Positions are counted in ranges of the order: a first pass counts each condition in
+    each range, and what lies in earlier ranges is added to the place within one. So a
+    condition is never gathered in a task.
+    """
+    n = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sample.select("condition_id", "idx", order) if order != "idx" else sample.select("condition_id", "idx")
+    size = rows.count()
+    cuts = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.01 / n if n > 1 else 0.0) if size > RANGE_ROWS else []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + (F.col(order) > c).cast("int")
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("condition_id", "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("condition_id").orderBy("_part")) - F.col("_n")).select("condition_id", "_part", "_before")
+    place = F.row_number().over(Window.partitionBy("condition_id", "_part").orderBy(order))
+    rows = rows.withColumn("_place", place).join(F.broadcast(before), (rows.condition_id.eqNullSafe(before.condition_id)) & (rows._part == before._part)).drop(before.condition_id, before._part)  # a row for each condition and range
+    rows = rows.withColumn("sample_position", (F.col("_place") + F.col("_before")).cast("int"))
     key = F.concat(F.lit(f"{run_id}:"), F.format_string("%03d", "sample_position"), F.lit(":"), F.col("condition_id"), F.lit(":"), F.col("idx").cast("string"))
     return rows.select("condition_id", "idx", "sample_position", key.alias("request_key"))
 
 
+def judge_keys(sample: DataFrame, run_id: str) -> DataFrame:
+    """Request keys of the standalone judge: file, condition, run, four-digit position, and segment (ts_file, condition_id, sample_position, segment_id)."""
+    key = F.concat_ws("|", "ts_file", "condition_id", F.lit(run_id), F.format_string("%04d", "sample_position"), "segment_id")
+    return sample.withColumn("run_id", F.lit(run_id)).withColumn("request_key", key)
+
+
 def pending(requests: DataFrame, done: DataFrame) -> DataFrame:
     """Requests without a result yet."""
     return requests.join(done.select("request_key").distinct(), "request_key", "left_anti")
