@@ -6,6 +6,7 @@ numpy finds words and hashes them without making Python strings.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,11 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder in the place that driver and executors share.
 
-    It is below ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and kept for the session.
+    It is below ``spark.checkpoint.dir``. Only in a local session (tests on one machine)
+    may that be unset; a temporary folder is then made and kept for the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="verbatix-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/verbatix/{uuid.uuid4().hex}"

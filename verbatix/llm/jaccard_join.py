@@ -22,7 +22,8 @@ filtered and verified. No list and no candidate is dropped.
 
 Edge cases: a null text or a text without words has the empty set and is linked
 with nothing; a text with fewer than ``n`` words has its whole sequence as one
-shingle; repeated rows are copies and share a component; a null ``doc_id`` gets its
+shingle; repeated rows are copies and share a component; rows of one ``doc_id`` with
+different texts are one document, linked by any of them; a null ``doc_id`` gets its
 class's component if the class has a numbered document, else null; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -124,10 +125,11 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray,
             ends = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64))).astype(np.int32)
             values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             a, b = zip(*sigs, strict=True) if sigs else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(ends, values), *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(SKETCH_WORDS))], names=["doc_id", "n", "sig1", "sig2", "prefix", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(ends, values), *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(SKETCH_WORDS))], names=["doc_id", "h", "n", "sig1", "sig2", "prefix", *SKETCH])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(prefixes, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(prefixes, "doc_id long, h long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -165,13 +167,17 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents are linked where 100 |A & B| >= percent |A | B|."""
     order = repeated_shingles(docs, n)
     prefixed = common.materialize(prefix_rows(docs, n, percent, order))
-    classes = prefixed.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("cid"))
     total = prefixed.count()
     many = LIST_ROWS * total  # about so many rows have all posting lists
-    classes = common.materialize(classes, rows=total)
-    # A class's prefix stands with the document that names it; only that row of the copies is kept.
-    named = prefixed.select("doc_id", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["n", "sig1", "sig2"], "inner").where("doc_id = cid")
-    grouped = common.materialize(named.select("cid", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]), rows=many)
+    differs = " or ".join(f"min({c}) != max({c})" for c in ("n", "sig1", "sig2"))
+    numbered = prefixed.where("doc_id is not null")
+    mixed = numbered.groupBy("doc_id").agg(F.expr(f"{differs} as mixed")).where("mixed").limit(1).count() > 0
+    # The row with the smallest (id, text hash) names a class.
+    classes = numbered.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "h")).alias("who"))
+    classes = classes.select("n", "sig1", "sig2", F.col("who.doc_id").alias("name"), F.col("who.h").alias("h"))
+    classes = common.materialize(_numbered(common.materialize(classes, rows=total)) if mixed else classes.withColumn("cid", F.col("name")), rows=total)
+    named = prefixed.select(F.col("doc_id").alias("name"), "h", "n", "sig1", "sig2", "prefix", *SKETCH).join(classes, ["name", "h", "n", "sig1", "sig2"])
+    grouped = common.materialize(named.select("cid", "name", "h", "n", "prefix", *SKETCH, F.xxhash64("n", "prefix").alias("gid")).dropDuplicates(["cid"]), rows=many)
     groups = grouped.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     heads = grouped.join(groups.select(F.col("head").alias("cid")), "cid", "left_semi")
     entries = heads.select("gid", "n", F.posexplode("prefix").alias("place", "shingle"))
@@ -184,17 +190,18 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     lists = posting.unionByName(own).join(grouped.select("gid", "cid"), "gid")
     lists = common.materialize(lists.select("shingle", "cid", "n", "place"), rows=many)
 
-    wanted = common.materialize(lists.select("cid").distinct(), rows=total)
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), F.col("text").cast("string").alias("text"))
+    wanted = grouped.select("cid", "name", "h").join(lists.select("cid").distinct(), "cid")
+    wanted = common.materialize(wanted, rows=total)
+    texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     few = wanted.count() <= BROADCAST_ROWS  # the bound of what is broadcast
-    texts = common.materialize(texts.join(F.broadcast(wanted) if few else wanted, "cid", "left_semi"))
-    texts = texts.dropDuplicates(["cid"]) if rows.where("doc_id is not null").count() > rows.select("doc_id").distinct().where("doc_id is not null").count() else texts
+    texts = common.materialize(texts.join(F.broadcast(wanted) if few else wanted, ["name", "h"]).select("cid", "text"))
+    texts = texts if texts.count() == wanted.count() else texts.dropDuplicates(["cid"])  # repeated rows
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(place, spot) + 1 + least(n - place - 1, m - spot - 1) >= ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
     # The class whose lists are the fullest is the middle of its family; it leads first.
     lengths = lists.groupBy("shingle").agg(F.count("*").alias("k"))
     weights = common.materialize(lists.join(lengths, "shingle").groupBy("cid").agg(F.sum("k").alias("weight")), rows=total)
-    labels, tried = None, None
+    labels, tried = components(common.materialize(_same_id(rows, classes)), None, total) if mixed else None, None
     for k in range(STAR_ROUNDS):
         now = lists.join(weights, "cid").withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
         rank = F.struct(-F.col("weight"), F.xxhash64("cid")) if labels is None else F.struct(F.lit(0), F.xxhash64("cid", F.lit(k)))
@@ -230,11 +237,35 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), rows=many)
     labels = components(common.materialize(_verify(rest, texts, n, percent), rows=many), labels, total)
-    classes = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("cid", F.coalesce("label", "cid")).drop("label")
+    classes = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("cid", F.coalesce("label", "cid")).select("n", "sig1", "sig2", "cid")
     out = rows.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"], "left")
+    if mixed:  # a class may bear another name than its smallest document, and an empty text belongs to its document's component
+        least = out.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
+        own = out.where("cid is not null and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("of_id"))
+        out = out.join(own, "doc_id", "left").withColumn("cid", F.coalesce("cid", "of_id")).join(least, "cid", "left").withColumn("cid", F.col("least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cid", "doc_id").alias("component_id"))
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Classes with ``cid``: their name, or for several of one name (an id with different texts) numbers beyond all names. The table must be written, so that row numbers stay."""
+    several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
+    top = classes.agg(F.max("name")).first()[0]
+    if top is None:
+        return classes.withColumn("cid", F.col("name"))
+    again = common.materialize(classes.join(several, "name", "left_semi"))
+    if top < 1 << 62:
+        number = F.lit(top) + 1 + F.monotonically_increasing_id()
+    else:
+        number = F.lit(classes.agg(F.min("name")).first()[0]) - 1 - F.monotonically_increasing_id()
+    return classes.join(several, "name", "left_anti").withColumn("cid", F.col("name")).unionByName(again.withColumn("cid", number))
+
+
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each id that has several."""
+    of = rows.where("doc_id is not null and n > 0").select("doc_id", "n", "sig1", "sig2").distinct().join(classes, ["n", "sig1", "sig2"]).select("doc_id", "cid")
+    return of.join(of.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").where("a != cid").select("a", F.col("cid").alias("b"))
+
+
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Posting lists with the component of each class; a class without links is its own."""
     return lists.join(labels, lists.cid == labels.node, "left").select("shingle", "cid", "n", "place", F.coalesce("label", "cid").alias("label"))
