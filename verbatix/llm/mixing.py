@@ -66,7 +66,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
         table = F.broadcast(table)
     named = docs.withColumn("_name", F.coalesce("source", F.lit("\0null"))).join(table, "_name")
     doc = "coalesce(cast(doc_id as string), 'null')"
-    copies = F.expr(f"aggregate(sequence(1, draws), 0, (a, j) -> a + size(filter(cdf, c -> {_draw(doc, 'cast(j as string)')} >= c)))")
+    # The inner transform makes each draw once, not for every value of the distribution function.
+    copies = F.expr(f"aggregate(transform(sequence(1, draws), j -> {_draw(doc, 'cast(j as string)')}), 0, (a, u) -> a + size(filter(cdf, c -> u >= c)))")
     many = named.withColumn("_copies", copies).where("_copies > 0").select(*COLUMNS, F.explode(F.expr("sequence(1, _copies)")).alias("copy_no"))
     keyed = many.withColumn("shuffle_key", F.expr(f"cast(conv(substr(md5(concat_ws(':', 'order', '{SEED}', {doc}, cast(copy_no as string))), 1, 13), 16, 10) as bigint)"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
