@@ -1,20 +1,22 @@
 """Exact top-k inner product search, columnar branch and bound.
 
-Vectors are quantised once. Queries and candidates are dealt to blocks by hash; a
-task takes one block of each, so its memory has a bound and no task needs all
-queries or all vectors. Within a task candidates lie in vertical layout, a row per
-dimension, dimensions by falling mass. Scores are accumulated block of dimensions
-by block; after each block a pair stays only if its partial score plus the product
-of the remaining norms (Cauchy-Schwarz) can still reach the query's k-th best score
-so far, and survivors are compacted. The k best of every block pair are merged.
+Vectors are quantised once. Queries and candidates are dealt to blocks; a task takes
+one block of each, so its memory has a bound and no task needs all queries or all
+vectors. Within a task candidates lie in vertical layout, a row per dimension,
+dimensions by falling mass. Scores are accumulated block of dimensions by block, for a
+group of queries at once. The candidates that lead after the first block are scored in
+full, which gives each query its k-th best score so far. After each block a pair stays
+only if its partial score plus the product of the remaining norms (Cauchy-Schwarz) can
+still reach that; columns without any such pair are compacted away, and once few pairs
+are left they are carried on one by one. The k best of every block pair are merged.
 
 The work is queries times vectors, as an exact search over a query set asks for.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take
 no part; vectors of different lengths are not compared; repeated ids: a query counts
 once (with its smallest vector), candidates with the query's id are its own row and
-skipped; fewer than k candidates give all; an empty table gives no rows; extra
-columns are ignored.
+skipped; fewer than k candidates give all; equal scores go to the smaller id; a score
+beyond 64 bits raises; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
-DIMS = 8
+#: Rows of a block at most, and of a candidates' block at least if there are tasks to share the work.
+QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCK = 4096, 1 << 16, 2048
+#: Dimensions of a block, queries of a group, and the share of pairs from which on they are kept one by one.
+DIMS, GROUP, SPARSE = 8, 64, 0.03
 
 
 def quantise(vectors: DataFrame, factor: float = 64.0) -> DataFrame:
@@ -53,23 +57,47 @@ def _search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     norm = lambda a: np.sqrt(a.astype(np.float64))
     x_left = [norm(np.square(columns[c:].astype(np.float64)).sum(0)) for c in cuts]
     q_left = [norm(np.square(q[:, c:].astype(np.float64)).sum(1)) for c in cuts]
-    first = min(x.shape[0], max(4 * k, 512))
-    for a in range(0, len(q), 64):
-        some, ids = q[a : a + 64], q_ids[a : a + 64]
-        head = (some @ columns[:, :first]).astype(np.float64)
-        head[ids[:, None] == x_ids[None, :first]] = -np.inf
-        low = np.partition(head, first - k, axis=1)[:, first - k] if first >= k else np.full(len(some), -np.inf)
-        # Pairs (row, col) with their partial scores; the first block is dense.
-        part = some[:, : cuts[1]] @ columns[: cuts[1]]
-        reach = part.astype(np.float64) + q_left[1][a : a + 64, None] * x_left[1][None, :]
-        row, col = np.nonzero(reach * (1 + 1e-12) + 1e-6 >= low[:, None])
-        part = part[row, col]
-        for b in range(1, len(cuts) - 1):
-            block = slice(cuts[b], cuts[b + 1])
-            part = part + (some[row, block] * columns[block, col].T).sum(1)
-            reach = part.astype(np.float64) + q_left[b + 1][a + row] * x_left[b + 1][col]
-            keep = reach * (1 + 1e-12) + 1e-6 >= low[row] if kind is not object else np.ones(len(row), bool)
-            row, col, part = row[keep], col[keep], part[keep]
+    exact = kind is not object
+
+    def can(reach: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Scores are integers, so half of one is room enough for the rounding of norms."""
+        return reach + np.abs(reach) * 1e-9 >= low - 0.5
+
+    for a in range(0, len(q), GROUP):
+        some, ids = q[a : a + GROUP], q_ids[a : a + GROUP]
+        alive, part = np.arange(x.shape[0]), some[:, : cuts[1]] @ columns[: cuts[1]]
+        own = ids[:, None] == x_ids[None, :]
+        low = np.full(len(some), -np.inf)
+        if exact and x.shape[0] > k:
+            guess = np.where(own, -np.inf, part)
+            lead = np.argpartition(-guess, k, axis=1)[:, : k + 1]
+            full = np.einsum("qd,dqk->qk", some, columns[:, lead]).astype(np.float64)
+            full[np.take_along_axis(own, lead, 1)] = -np.inf
+            low = np.partition(full, 1, axis=1)[:, 1]  # the k-th of k + 1
+        row = col = None
+        for b in range(1, len(cuts)):
+            if b > 1:
+                block = slice(cuts[b - 1], cuts[b])
+                if row is None:
+                    part = part + some[:, block] @ columns[block][:, alive]
+                else:
+                    part = part + (some[row, block] * columns[block, col].T).sum(1)
+            if not exact:
+                continue
+            if row is None:
+                stay = can(part + q_left[b][a : a + len(some), None] * x_left[b][None, alive], low[:, None])
+                used = stay.any(0)
+                if stay.sum() < SPARSE * stay.size:
+                    row, at = np.nonzero(stay)
+                    part, col = part[row, at], alive[at]
+                elif used.mean() < 0.7:
+                    alive, part = alive[used], part[:, used]
+            else:
+                stay = can(part + q_left[b][a + row] * x_left[b][col], low[row])
+                row, col, part = row[stay], col[stay], part[stay]
+        if row is None:
+            row, at = np.nonzero(part >= low[:, None]) if exact else np.nonzero(np.ones(part.shape, bool))
+            part, col = part[row, at], alive[at]
         keep = x_ids[col] != ids[row]
         row, col, part = row[keep], col[keep], part[keep].astype(np.int64)
         order = np.lexsort((x_ids[col], -part, row))
@@ -84,12 +112,15 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 64.0
     """(query_id, rank, vec_id, score): the k best rows for each query, a row whose ``vec_id`` is divisible by ``every``."""
     codes = common.materialize(quantise(vectors, factor))
     asked = codes.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("code").alias("code"))
-    queries, n = asked.count(), codes.count()
-    q_blocks, x_blocks = max(1, -(-queries // QUERY_BLOCK)), max(1, -(-n // VECTOR_BLOCK))
-    deal = lambda seed, blocks: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    queries, n, tasks = asked.count(), codes.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-queries // QUERY_BLOCK))
+    x_blocks = max(1, -(-n // VECTOR_BLOCK), min(-(-n // LEAST_BLOCK), -(-tasks // q_blocks)))
+    # Rows of one id go to different blocks; the table is written, so its rows keep their numbers.
+    codes = codes.withColumn("row", F.monotonically_increasing_id())
+    deal = lambda what, blocks: F.pmod(F.xxhash64(what), F.lit(blocks)).cast("int")
     span = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asked.select("vec_id", "code", F.lit(True).alias("query"), deal(1, q_blocks).alias("qb"), span(x_blocks).alias("xb"))
-    right = codes.select("vec_id", "code", F.lit(False).alias("query"), deal(2, x_blocks).alias("xb"), span(q_blocks).alias("qb"))
+    left = asked.select("vec_id", "code", F.lit(True).alias("query"), deal("vec_id", q_blocks).alias("qb"), span(x_blocks).alias("xb"))
+    right = codes.select("vec_id", "code", F.lit(False).alias("query"), deal("row", x_blocks).alias("xb"), span(q_blocks).alias("qb"))
     both = left.unionByName(right).withColumn("dim", F.size("code"))
 
     def search(group: pa.Table) -> pa.Table:
