@@ -85,6 +85,38 @@ def test_links_without_stars(spark):
     assert got == {ids[0]: ids[0], ids[1]: min(ids[1:]), ids[2]: min(ids[1:])}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_keep_their_links(spark, seed):
+    """Rows of one id are one document, whatever their texts are."""
+    a, b = prose(60, 31), prose(60, 32)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(60, 33)), (4, None), (None, a), (5, None), (6, ""), (6, prose(9, 34)), (4, prose(60, 33))]
+    random.Random(seed).shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.link_components(table).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 1), (5, 5), (6, 6)} and len(got) == len(rows)
+    rng = random.Random(seed)
+    base = [prose(30, 40 + k).split() for k in range(6)]
+    rows = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        w[rng.randrange(30)] = f"new{rng.randrange(3)}"
+        rows.append((rng.randrange(100, 140), " ".join(w[: rng.randint(20, 30)])))
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    roots = [root for _, root in brute_components([t for _, t in rows], 4, 85)]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        x, y = find(i), find(first.setdefault(root, i))
+        parent[max(x, y)] = min(x, y)
+    assert got == {(i, find(i)) for i, _ in rows}
+
+
 def test_copies_of_the_pipeline(spark, tmp_path):
     base, t = prose(100, 21).split(), texts()
     changed = list(base)
@@ -278,3 +310,64 @@ def test_surrogates(spark):
     assert got[2].text is None and got[3].text == "" and got[4].text == "no data"
     seen = {surrogates.permute(f"{k:04d}", "x") for k in range(10000)}
     assert len(seen) == 10000  # a permutation
+
+
+def test_names_of_all_scripts_and_settled(spark):
+    t = ["Dr. 田中 太郎 und Dr محمد علي, Dr. 김철수; Mr. Jean-Luc O'Neil met Frau Šimůnková.", "Call +1 (743) 555-3824 or +17435553824 at 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "Mr Adam Smith and Mr Smith"]
+    got = {r.doc_id: r for r in surrogates.replace(docs(spark, t)).collect()}
+    for word in ("田中", "太郎", "محمد", "김철수", "Luc", "Neil", "Šimůnková", "2001:0db8", "Smith"):
+        assert not any(word in r.text for r in got.values()), word
+    names = [e["surrogate"] for e in got[0].entities]
+    assert len(names) == 5 and "'" in names[3] and all(e["settled"] for r in got.values() for e in r.entities)
+    phones = ["".join(c for c in e["surrogate"] if c.isdigit()) for e in got[1].entities if e["kind"] == "phone"]
+    assert phones[0] == phones[1] and phones[0][0] == "1"
+    full, family = (e["surrogate"] for e in got[2].entities)
+    assert full.split()[2] == family.split()[1]
+
+
+def test_surrogates_are_distinct_or_marked(spark):
+    """All values of a small format: every surrogate is an original, so none is settled; elsewhere a brute-force check of distinctness."""
+    every = spark.createDataFrame([("ssn", f"{k}-00-0000") for k in range(10)] + [("email", f"{c}@x.de") for c in "abcdefghijklmnopqrstuvwxyz"] + [("card", surrogates._layout("x" * 15, f"{4 * 10**14 + k}") + str(surrogates.luhn(f"{4 * 10**14 + k}"))) for k in range(300)], "kind string, value string")
+    rows = surrogates.assign(every).collect()
+    assert all(not (r.settled and r.made == r.value) for r in rows)
+    cards = [r for r in rows if r.kind == "card"]
+    assert len({r.made for r in cards}) == 300 and all(r.settled for r in cards) and not {r.made for r in cards} & {r.value for r in cards}
+    done = [(r.kind, r.made) for r in rows if r.settled]
+    assert len(set(done)) == len(done)
+
+
+def test_many_exceptions_are_joined(spark, monkeypatch):
+    t = [f"Mr {a} Smith" for a in ("Adam", "Bob", "Carl")] + ["x@y.de", "Mr Adam Smith again", None, ""]
+    one = sorted(map(tuple, surrogates.replace(docs(spark, t)).select("doc_id", "text").collect()))
+    monkeypatch.setattr(surrogates, "EXCEPTIONS", -1)
+    assert sorted(map(tuple, surrogates.replace(docs(spark, t)).select("doc_id", "text").collect())) == one
+
+
+def test_rates_over_fifty_and_weights(spark):
+    rows = [(i, "t", "en", "a" if i < 20 else "b", 1) for i in range(2020)] + [(None, None, None, "b", None), (5, "t", "en", "a", 1)]
+    out = mixing.replicate(spark.createDataFrame(rows, DOCS), {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()
+    n = {r.source: r["count"] for r in out}
+    assert abs(n["a"] - 1516) < 160 and abs(n["b"] - 505) < 90  # about 72 copies of each of 21 rows
+    none = mixing.replicate(spark.createDataFrame(rows, DOCS), {"a": 1.0})
+    assert none.where("source = 'b'").count() == 0
+
+
+def test_topk_against_brute_force_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "LEAST_BLOCK", 60)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 20))
+    rows = [(int(i % 700), [float(x) for x in base[i % 40] + rng.normal(size=20) * (i % 3) / 5]) for i in range(800)]
+    rows += [(20, None), (40, [1.0, float("inf")] + [0.0] * 18), (60, [1.0, None] + [0.0] * 18), (7, rows[7][1]), (7, rows[7][1]), (None, rows[0][1]), (800, [1.0] * 19), (820, [-(10.0**7)] * 20)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("code", F.lit(1)), k=4).collect()
+    use = [(i, [int(np.floor(64 * v)) for v in x]) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x)]
+    asked = {}
+    for i, x in use:
+        if i % 20 == 0:
+            asked[i] = min(asked.get(i, x), x)
+    wanted = []
+    for q, x in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in use if i != q and len(y) == len(x))[:4]
+        wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -1,23 +1,28 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
-Patterns find e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs,
-US social security numbers and names after a title. Surrogates are made by a keyed
-format-preserving permutation: a Feistel network over the characters, each within
-its own class (digit, lower, upper, and letters by script), so equal originals get
-equal surrogates everywhere (coreference), length, punctuation, case and script
-stay, and different originals of a format get different surrogates. Cards keep their
-issuer digit and a right check digit, IBANs their country and right check digits,
-IPv4 addresses stay addresses, mail addresses their domain's form. Names keep the
-title's gender and the script: Latin given names come from lists by gender, family
-names are permuted; other scripts are permuted letter by letter.
+Patterns find e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards,
+IBANs, US social security numbers and names after a title. Surrogates are made by a
+keyed format-preserving permutation: a Feistel network over the characters, each within
+its own class (digits, and letters by script and case), so equal originals get equal
+surrogates everywhere (coreference), length, punctuation, case and script stay, and
+different originals of a format get different surrogates. Letters outside the listed
+alphabets move among the letters of their script and case in the Unicode data. Cards
+keep their issuer digit and a right check digit, IBANs their country and right check
+digits, IP addresses stay addresses, mail addresses their domain's form; a phone number
+goes by its digits alone, so its layouts agree. Names keep the title's gender and the
+script: Latin given names come from lists by gender, family names are permuted, by the
+same key with and without a given name; other scripts are permuted letter by letter.
 
 A collision check covers all distinct entities: a surrogate that another entity has,
-or that stands in the corpus as an original, sends its entity to the next round with
-a new tweak, until none is left. Only those exceptions go to the tasks; their number
-is checked, and if it is over ``EXCEPTIONS`` the rounds are joined instead.
+or that stands in the corpus as an original (its own included), sends its entity to the
+next round with a new tweak. Formats of which the corpus holds nearly all values (two
+free letters, say) leave none to move to: what still collides after ``ROUNDS`` rounds is
+replaced all the same and marked ``settled`` = false in the output. Only the exceptions
+go to the tasks; their number is checked, and if it is over ``EXCEPTIONS`` they are
+joined instead.
 
 Edge cases: a null text stays null and has no entities; an empty text stays empty;
-overlapping finds keep the leftmost, then longest; repeated rows are replaced alike;
+overlapping finds keep the leftmost, then the first kind listed; repeated rows are replaced alike;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,8 +33,8 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +43,10 @@ from . import common
 
 KEY = b"surrogate-key-1"
 EXCEPTIONS = 100_000
-ROUNDS = 12
+#: Rounds of the collision check, and those in which given names come from the lists.
+ROUNDS, LISTED = 12, 8
 
-_UP, _WORD = r"[^\W\d_a-zß-öø-ÿ]", r"[^\W\d_]+"
+_UP, _WORD = r"[^\W\d_a-zß-öø-ÿ]", r"[^\W\d_]*(?:[-'’][^\W\d_]+)*"
 FEMALE_TITLES, MALE_TITLES, ANY_TITLES = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Signora", "Mr|Herr|Monsieur|Señor|Sr|Signor", "Dr|Prof"
 PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
@@ -49,15 +55,43 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     ("name", rf"\b(?:{FEMALE_TITLES}|{MALE_TITLES}|{ANY_TITLES})\.? +{_UP}{_WORD}(?: +{_UP}{_WORD})?"),
 )
 FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
-MAYBE = re.compile(rf"@|\d{{2}}|\d\.\d|\b(?:{FEMALE_TITLES}|{MALE_TITLES}|{ANY_TITLES})\b")
+MAYBE = re.compile(rf"@|\d{{2}}|\d\.\d|[0-9A-Fa-f]:[0-9A-Fa-f]|\b(?:{FEMALE_TITLES}|{MALE_TITLES}|{ANY_TITLES})\b")
 #: Given names by gender.
 FEMALE = "Anna Maria Clara Emma Julia Laura Sofia Elena Marta Nina Paula Rosa Sara Vera Alice Irene Louise Helen Greta Ida".split()
 MALE = "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Lukas Martin Oskar Paul Robert Simon Thomas Viktor Walter".split()
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "äöüßéèêëçñáíóúàâîôûœæø", "ÄÖÜÉÈÊËÇÑÁÍÓÚÀÂÎÔÛŒÆØ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _CLASS = {c: (k, i) for k, a in enumerate(_ALPHABETS) for i, c in enumerate(a)}
+#: Scripts whose letters are named by number, as ranges of code points.
+_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x2A6DF))
+
+
+@cache
+def _scripts() -> dict[tuple[str, str, int], list[str]]:
+    """Letters and digits of the basic plane by the first word of their name, category and 1,024 code points, less those of ``_ALPHABETS`` and of ``_RANGES``."""
+    out: dict[tuple[str, str, int], list[str]] = {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nd") and c not in _CLASS and not any(a <= code <= b for a, b in _RANGES):
+            out.setdefault((unicodedata.name(c, "?").split()[0], unicodedata.category(c), code >> 10), []).append(c)
+    return out
+
+
+@cache
+def _place(c: str) -> tuple[str | range | list[str], int] | None:
+    """The alphabet of a character, as characters or code points, and its place there; None for what stays."""
+    if c in _CLASS:
+        k, i = _CLASS[c]
+        return _ALPHABETS[k], i
+    code = ord(c)
+    for a, b in _RANGES:
+        if a <= code <= b:
+            return range(a, b + 1), code - a
+    letters = _scripts().get((unicodedata.name(c, "?").split()[0], unicodedata.category(c), code >> 10), ()) if code >= 0x80 else ()
+    return (letters, letters.index(c)) if len(letters) > 1 and c in letters else None
 
 
 def _digits(tweak: str, half: list[int], width: int) -> int:
@@ -67,9 +101,9 @@ def _digits(tweak: str, half: list[int], width: int) -> int:
 
 def permute(text: str, tweak: str) -> str:
     """A keyed permutation of the texts with the same classes at the same places; other characters stay."""
-    at = [i for i, c in enumerate(text) if c in _CLASS]
-    sizes = [len(_ALPHABETS[_CLASS[text[i]][0]]) for i in at]
-    x, half = [_CLASS[text[i]][1] for i in at], len(at) // 2
+    found = [(i, *p) for i, c in enumerate(text) if (p := _place(c))]
+    at, sizes, x = [f[0] for f in found], [len(f[1]) for f in found], [f[2] for f in found]
+    half = len(at) // 2
     if len(at) == 1:  # a single place: a keyed rotation
         x = [(x[0] + _digits(tweak, [], 1)) % sizes[0]]
     for k in range(10 if half else 0):
@@ -81,8 +115,8 @@ def permute(text: str, tweak: str) -> str:
             if n < sizes[i]:
                 n = _digits(f"{tweak}|{k}|{i}", [x[j] for j in there], len(at))
     out = list(text)
-    for i, d in zip(at, x, strict=True):
-        out[i] = _ALPHABETS[_CLASS[text[i]][0]][d]
+    for (i, alphabet, _), d in zip(found, x, strict=True):
+        out[i] = chr(alphabet[d]) if isinstance(alphabet, range) else alphabet[d]
     return "".join(out)
 
 
@@ -126,15 +160,26 @@ def surrogate(kind: str, value: str, tries: int = 0) -> str:
         name, host = value.rsplit("@", 1)
         labels = host.split(".")
         return f"{permute(name, tweak)}@{'.'.join([permute('.'.join(labels[:-1]), tweak + name.lower()), labels[-1]])}"
+    if kind == "ipv6":
+        groups = value.split(":")
+        n = int("".join(g.zfill(4) for g in groups), 16)
+        left, right = n >> 64, n & (1 << 64) - 1
+        for k in range(8):
+            left, right = right, left ^ (_digits(f"{tweak}|{k}", [right], 8) & (1 << 64) - 1)
+        made = f"{left << 64 | right:032x}"
+        made = ":".join(made[i : i + 4] for i in range(0, 32, 4))
+        return made.upper() if value != value.lower() else made
     if kind == "phone":
-        head = re.match(r"\+\d{1,3}(?=\D)|", value)[0]
-        return head + permute(value[len(head) :], tweak + head)
+        plain = re.sub(r"\D", "", value)
+        kept = 1 if value[0] == "+" else 0
+        return _layout(value, plain[:kept] + permute(plain[kept:], f"{tweak}|{plain[:kept]}"))
     if kind == "name":
         title, *names = value.split()
         word = title.rstrip(".")
         pool = FEMALE if word in FEMALE_TITLES.split("|") else MALE if word in MALE_TITLES.split("|") else FEMALE + MALE
-        out = [permute(x, tweak) for x in names]
-        if len(names) > 1 and all("LATIN" in unicodedata.name(c, "") for c in names[0]):
+        # The family name keeps its surrogate where a given name can part two persons.
+        out = [*(permute(x, tweak) for x in names[:-1]), permute(names[-1], "name|0" if len(names) > 1 and tries < LISTED else tweak)]
+        if len(names) > 1 and tries < LISTED and all("LATIN" in unicodedata.name(c, "") for c in names[0] if c.isalpha()):
             out[0] = pool[_digits(tweak, [ord(c) for c in names[0]], 1) % len(pool)]
         gaps = re.findall(r" +", value)
         return title + "".join(g + x for g, x in zip(gaps, out, strict=True))
@@ -168,38 +213,38 @@ def _entities(docs: DataFrame) -> DataFrame:
 
 
 def assign(entities: DataFrame) -> DataFrame:
-    """(kind, value, tries): how often each entity has to be tried until no surrogate is another's or an original."""
+    """(kind, value, tries, made, settled): how often each entity had to be tried until no surrogate was another's or an original."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "tries")), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*r) for r in rows], pa.string())], names=[*batch.schema.names, "made"])
 
-    rows = common.materialize(entities.withColumn("tries", F.lit(0)).mapInArrow(run, "kind string, value string, tries int, made string"))
+    schema = "kind string, value string, tries int, made string"
+    rows = common.materialize(entities.withColumn("tries", F.lit(0)).mapInArrow(run, schema))
     originals = rows.select("kind", F.col("value").alias("made")).withColumn("taken", F.lit(True))
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS + 1):
         first = rows.groupBy("kind", "made").agg(F.min("value").alias("owner"))
         checked = rows.join(first, ["kind", "made"]).join(originals, ["kind", "made"], "left")
         checked = common.materialize(checked.withColumn("bad", (F.col("value") != F.col("owner")) | F.col("taken").isNotNull()))
-        if not checked.where("bad").limit(1).count():
-            return rows
-        again = checked.where("bad").select("kind", "value", (F.col("tries") + 1).cast("int").alias("tries")).mapInArrow(run, "kind string, value string, tries int, made string")
+        if k == ROUNDS or not checked.where("bad").limit(1).count():
+            return checked.select("kind", "value", "tries", "made", (~F.col("bad")).alias("settled"))
+        again = checked.where("bad").select("kind", "value", (F.col("tries") + 1).cast("int").alias("tries")).mapInArrow(run, schema)
         rows = common.materialize(checked.where("not bad").select("kind", "value", "tries", "made").unionByName(again))
-    return rows  # formats with fewer values than originals (such as two free letters) can't be kept apart
 
 
 def replace(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_entities, entities): texts with surrogates; entities are (kind, start, end, surrogate) in the new text."""
+    """(doc_id, text, n_entities, entities): texts with surrogates; entities are (kind, start, end, surrogate, settled) in the new text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tried = common.materialize(assign(common.materialize(_entities(rows))).where("tries > 0").select("kind", "value", "tries"))
+    tried = common.materialize(assign(common.materialize(_entities(rows))).where("tries > 0").select("kind", "value", "tries", "settled"))
     few = tried.count() <= EXCEPTIONS
-    known = rows.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.tries for r in tried.collect()} if few else {})  # at most EXCEPTIONS
-    entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
+    known = rows.sparkSession.sparkContext.broadcast({(r.kind, r.value): (r.tries, r.settled) for r in tried.collect()} if few else {})  # at most EXCEPTIONS
+    entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string()), ("settled", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, str], str] = {}
         for batch in batches:
-            own = [dict(((e["kind"], e["value"]), e["tries"]) for e in x or []) for x in batch.column("own").to_pylist()] if "own" in batch.schema.names else None
+            own = [dict(((e["kind"], e["value"]), (e["tries"], e["settled"])) for e in x or []) for x in batch.column("own").to_pylist()] if "own" in batch.schema.names else None
             texts, lists = [], []
             if len(memo) > 100_000:
                 memo.clear()
@@ -208,11 +253,11 @@ def replace(docs: DataFrame) -> DataFrame:
                 parts, at, length, made = [], 0, 0, []
                 for a, b, kind in found:
                     value = text[a:b]
-                    tries = (own[r] if own else known.value).get((kind, value), 0)
+                    tries, settled = (own[r] if own else known.value).get((kind, value), (0, True))
                     new = memo.get((kind, value, tries)) or memo.setdefault((kind, value, tries), surrogate(kind, value, tries))
                     length += a - at
                     parts += [text[at:a], new]
-                    made.append({"kind": kind, "start": length, "end": length + len(new), "surrogate": new})
+                    made.append({"kind": kind, "start": length, "end": length + len(new), "surrogate": new, "settled": settled})
                     length, at = length + len(new), b
                 texts.append("".join([*parts, text[at:]]) if found else text)
                 lists.append(made)
@@ -224,10 +269,10 @@ def replace(docs: DataFrame) -> DataFrame:
                 found = [(h, k, t[a:b]) for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for a, b, k in find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.string()) for k in (1, 2))], names=["h", "kind", "value"])
 
-        hashed = rows.withColumn("h", F.xxhash64("text"))
-        own = hashed.select("h", "text").mapInArrow(spots, "h long, kind string, value string").distinct().join(tried, ["kind", "value"])
-        rows = hashed.join(own.groupBy("h").agg(F.collect_list(F.struct("kind", "value", "tries")).alias("own")), "h", "left").drop("h")
-    return rows.mapInArrow(run, "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
+        hashed = rows.withColumn("h", F.when(F.length("text") > 0, F.xxhash64("text")))  # adaptive execution splits a hot text's rows
+        own = hashed.where("h is not null").select("h", "text").mapInArrow(spots, "h long, kind string, value string").distinct().join(tried, ["kind", "value"])
+        rows = hashed.join(own.groupBy("h").agg(F.collect_list(F.struct("kind", "value", "tries", "settled")).alias("own")), "h", "left").drop("h")
+    return rows.mapInArrow(run, "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,end:int,surrogate:string,settled:boolean>>")
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
