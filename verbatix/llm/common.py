@@ -6,6 +6,7 @@ numpy finds words and hashes them without making Python strings.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -64,6 +65,13 @@ def materialize(df: DataFrame, partition_by: str | None = None, rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back the driver's memory of earlier steps: what nothing refers to in Python and in the JVM, where broadcasts and shuffles are dropped only after a collection."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_shared(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files below a materialized table that is no longer needed."""
     jvm = spark.sparkContext._jvm

@@ -165,6 +165,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents are linked where 100 |A & B| >= percent |A | B|."""
+    common.settle(docs.sparkSession)
     order = repeated_shingles(docs, n)
     prefixed = common.materialize(prefix_rows(docs, n, percent, order))
     total = prefixed.count()
@@ -197,6 +198,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     texts = common.materialize(texts.join(F.broadcast(wanted) if few else wanted, ["name", "h"]).select("cid", "text"))
     texts = texts if texts.count() == wanted.count() else texts.dropDuplicates(["cid"])  # repeated rows
 
+    common.settle(docs.sparkSession)
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(place, spot) + 1 + least(n - place - 1, m - spot - 1) >= ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
     # The class whose lists are the fullest is the middle of its family; it leads first.
     lengths = lists.groupBy("shingle").agg(F.count("*").alias("k"))
@@ -217,6 +219,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
 
     if labels is None:  # no list has a star; each class is its own
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    common.settle(docs.sparkSession)
     now = common.materialize(_labelled(lists, labels), rows=many)
     sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("length")).where("labels > 1")

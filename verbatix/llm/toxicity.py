@@ -32,6 +32,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,8 +284,8 @@ class Index:
             yield float(np.interp(v, *self.points)) if len(at) and self.points is not None else float(v), at, cosine
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The scale of each slot, and the index of labelled examples; None without labelled rows."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | None:
+    """The scale of each slot, and the index of labelled examples (``Model``); None without labelled rows."""
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -343,6 +344,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 cols = ([x[i:j].astype(np.int32).tobytes() for i, j in zip(first[:-1], first[1:], strict=True)] for x in (slot, counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "toxic", "slots", "counts"])
 
+    del df, found
     shared = spark.sparkContext.broadcast(scale)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,14 +365,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = sample.select("doc_id", "toxic", "text").mapInArrow(examples, "doc_id long, toxic int, slots binary, counts binary")
     pieces = rows.repartition(1).mapInArrow(build, "at long, piece binary").toArrow()  # of at most EXAMPLES rows
     pieces = pieces.take(np.argsort(pieces.column("at").to_numpy()))
-    return Model(scale, b"".join(pieces.column("piece").to_pylist()))
+    model = spark.sparkContext.broadcast(Model(b"".join(pieces.column("piece").to_pylist())))
+    del pieces, scale
+    common.settle(spark)
+    return shared, model
 
 
 class Model:
-    """The scale of each slot, and the index, unpickled where it is first used."""
+    """The index, unpickled where it is first used."""
 
-    def __init__(self, scale: np.ndarray, blob: bytes):
-        self.scale, self.blob = scale, blob
+    def __init__(self, blob: bytes):
+        self.blob = blob
 
     @cached_property
     def index(self) -> Index:
@@ -379,13 +384,13 @@ class Model:
 
 def _scorer(docs: DataFrame, labels: DataFrame):
     """A function from a string column to (score, evidence) of each row."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = train(docs, labels)
 
     def run(column: pa.Array) -> Iterator[tuple[float, list[dict]]]:
-        if model.value is None:
+        if model is None:
             yield from ((0.0, []) for _ in range(len(column)))
             return
-        scale, index = model.value.scale, model.value.index
+        scale, index = model[0].value, model[1].value.index
         known, parts = np.append(index.slots, -1), [(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for _, size, row, slot, counts in _counts(column):
             weights = _weights(row, counts, scale[slot], size)
