@@ -72,10 +72,10 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_shared(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files below a materialized table that is no longer needed."""
+def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialized tables that are no longer needed."""
     jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
+    for file in (f for df in tables for f in df.inputFiles()):
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 

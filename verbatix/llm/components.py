@@ -28,6 +28,8 @@ def components(edges: DataFrame, labels: DataFrame | None = None, rows: int | No
         jump = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = common.materialize(step.join(jump, "label").select("node", "was", F.least("label", "next").alias("label")), rows=rows)
         moved = new.where("was != label").limit(1).count()
+        common.drop_shared(edges.sparkSession, now)
         now = new.select("node", "label")
         if not moved:
+            common.drop_shared(edges.sparkSession, both)
             return now

@@ -197,14 +197,14 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     few = wanted.count() <= BROADCAST_ROWS  # the bound of what is broadcast
     texts = common.materialize(texts.join(F.broadcast(wanted) if few else wanted, ["name", "h"]).select("cid", "text"))
     texts = texts if texts.count() == wanted.count() else texts.dropDuplicates(["cid"])  # repeated rows
-
-    common.settle(docs.sparkSession)
+    common.drop_shared(docs.sparkSession, wanted)
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(place, spot) + 1 + least(n - place - 1, m - spot - 1) >= ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
     # The class whose lists are the fullest is the middle of its family; it leads first.
     lengths = lists.groupBy("shingle").agg(F.count("*").alias("k"))
     weights = common.materialize(lists.join(lengths, "shingle").groupBy("cid").agg(F.sum("k").alias("weight")), rows=total)
     labels, tried = components(common.materialize(_same_id(rows, classes)), None, total) if mixed else None, None
     for k in range(STAR_ROUNDS):
+        common.settle(docs.sparkSession)
         now = lists.join(weights, "cid").withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
         rank = F.struct(-F.col("weight"), F.xxhash64("cid")) if labels is None else F.struct(F.lit(0), F.xxhash64("cid", F.lit(k)))
         lead = now.groupBy("shingle").agg(F.min(F.struct(rank, "cid", "label", F.col("n").alias("m"), F.col("place").alias("spot"))).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
@@ -215,8 +215,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
             break
         tried = stars if tried is None else tried.unionByName(stars)
         found = common.materialize(_verify(stars, texts, n, percent), rows=many)
-        labels = components(found, labels, total)
+        before, labels = labels, components(found, labels, total)
+        common.drop_shared(docs.sparkSession, found, *([] if before is None else [before]))
 
+    common.drop_shared(docs.sparkSession, weights)
     if labels is None:  # no list has a star; each class is its own
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
     common.settle(docs.sparkSession)
@@ -230,6 +232,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     long_ones = opened.where(F.col("length") >= LONG_LIST).join(held, "cid").drop("length")
     short_ones = opened.where(F.col("length") < LONG_LIST).drop("length")
     open_lists = common.materialize(long_ones.unionByName(short_ones, allowMissingColumns=True), rows=many)
+    common.drop_shared(docs.sparkSession, lists, now, main, grouped)
+    common.settle(docs.sparkSession)
     outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prefix").alias("vprefix"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
     # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
     close = f"{' + '.join(f'bit_count({c} ^ v{c})' for c in SKETCH)} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent}D - 1e-9)"
@@ -239,7 +243,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rest = open_lists.join(outside, "shingle").where(f"label != its and (label = main or cid < other) and {fits} and coalesce({close} and {once}, true)")
     rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), rows=many)
-    labels = components(common.materialize(_verify(rest, texts, n, percent), rows=many), labels, total)
+    common.drop_shared(docs.sparkSession, open_lists)
+    found = common.materialize(_verify(rest, texts, n, percent), rows=many)
+    common.drop_shared(docs.sparkSession, texts, rest)
+    labels = components(found, labels, total)
     classes = classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("cid", F.coalesce("label", "cid")).select("n", "sig1", "sig2", "cid")
     out = rows.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"], "left")
     if mixed:  # a class may bear another name than its smallest document, and an empty text belongs to its document's component
