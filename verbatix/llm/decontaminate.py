@@ -8,12 +8,13 @@ item is aligned locally (words; match 1, mismatch and gap -1) with the region ar
 them, and the pair is reported if the score reaches ``RATIO`` of the item's words.
 Edited, shortened and extended copies keep most of the score.
 
-Items come in blocks of at most ``BLOCK_CHARS`` characters; a block's seeds are what
-is broadcast. More items make more blocks, each a pass over the documents.
+Items come in blocks of about ``BLOCK_CHARS`` characters; a block's seeds are what
+is broadcast. More items make more blocks, each a pass over the documents; ``clean``
+writes what a block leaves before the next one.
 
-Edge cases: null or wordless texts have no match; items of fewer than ``SEED_WORDS``
-words have no seeds and are never matched (the chance of meeting them is too high);
-repeated rows are reported each, a null id stays null; empty tables give no rows;
+Edge cases: null or wordless texts have no match; an item of fewer than ``SEED_WORDS``
+words has no seeds and is matched by documents of exactly its words (in longer ones
+the chance of meeting it is too high), a wordless item by none; repeated rows are reported each, a null id stays null; empty tables give no rows;
 extra columns are ignored by ``matches`` and kept by ``clean``.
 """
 
@@ -54,6 +55,19 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _short(batch: pa.RecordBatch, items: dict[tuple[int, ...], list[int]]) -> Iterator[tuple[int, int, int]]:
+    """Row, index of the item and number of words, for each text that consists of the words of a short item."""
+    if not items:
+        return
+    data, offsets = common.buffers(batch.column("text"))
+    for a, b in common.slices(offsets):
+        hashes, first, _, _ = common.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], common.NOT_WORD)
+        many = np.diff(first)
+        for r in np.flatnonzero((many > 0) & (many < SEED_WORDS)).tolist():
+            for k in items.get(tuple(hashes[first[r] : first[r + 1]].tolist()), ()):
+                yield a + r, k, int(many[r])
+
+
 def _hits(batch: pa.RecordBatch, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row that has any of the sorted n-gram hashes: the row, its words, places, and indexes into ``wanted``."""
     sieve = np.zeros(1 << 20, bool)
@@ -114,10 +128,16 @@ def _seeds(docs: DataFrame, items: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 def _matcher(docs: DataFrame, items: list[tuple[int, str]]) -> Callable[[pa.RecordBatch], Iterator[tuple[int, int, int, float, int, int]]]:
     """A function from a batch with texts to its matches: row, item, score, ratio, first and last word of the region."""
     words = _item_words([x for _, x in items])
-    model = docs.sparkSession.sparkContext.broadcast((words, [i for i, _ in items], *_seeds(docs, words)))
+    short: dict[tuple[int, ...], list[int]] = {}
+    for k, x in enumerate(words):
+        if 0 < len(x) < SEED_WORDS:
+            short.setdefault(tuple(x.tolist()), []).append(k)
+    model = docs.sparkSession.sparkContext.broadcast((words, [i for i, _ in items], short, *_seeds(docs, words)))
 
     def match(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, float, int, int]]:
-        words, ids, seeds, owner, spot = model.value
+        words, ids, short, seeds, owner, spot = model.value
+        for row, k, n in _short(batch, short):
+            yield row, ids[k], n, 1.0, 0, n
         wanted = np.unique(seeds)
         low, high = np.searchsorted(seeds, wanted, side="left"), np.searchsorted(seeds, wanted, side="right")
         for row, text, places, index in _hits(batch, wanted):
@@ -171,9 +191,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose texts hold no item; decided row by row, without a join."""
-    for items in _blocks(benchmark):
-        match = _matcher(docs, items)
+    """The rows of ``docs`` whose texts hold no item; decided row by row, without a join. Seeds come from all of ``docs`` in every block."""
+    source, held = docs, None
+    for k, items in enumerate(_blocks(benchmark)):
+        if k:  # what the block before left
+            before, held = held, common.materialize(docs)
+            docs = held
+            if before is not None:
+                common.drop_shared(source.sparkSession, before)
+        match = _matcher(source, items)
 
         def run(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:
