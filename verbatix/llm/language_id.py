@@ -7,8 +7,8 @@ bundles the profiles of its training texts, each weighing alike. The prediction
 prototype with the largest cosine.
 
 Training covers all documents that may be learnt from: tasks add up n-gram shares by
-language, so that only languages x n-grams numbers reach the driver, a number fixed
-by the alphabet and bounded by ``MAX_LANGS``.
+language and bundle them, so that only one vector for each language (2 KB) reaches the
+driver. Beyond ``MAX_LANGS`` languages (100 MB of vectors) it raises.
 
 Edge cases: a text that is null or has no letter gives ``und`` and score 0; without
 anything learnt all predictions are ``und``; ties go to the language first by name;
@@ -30,7 +30,9 @@ from . import common
 #: Symbols: 0 parts words, 1 to 26 are a to z, other letters share the rest by code point.
 SYMBOLS, N, SIZE = 44, 3, 512
 SEED = 7
-MAX_LANGS = 500
+MAX_LANGS = 50_000
+#: Languages a task counts before it hands on their sums (0.7 MB each).
+HELD_LANGS = 64
 SLICE = 96 << 10
 
 
@@ -103,32 +105,57 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, x in sums.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(x[at])], names=["lang", "code", "n"])
+            sums.clear()
+
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for a, used, m in Profiles.counts(batch.column("text")):
                 m = m / np.maximum(m.sum(1, keepdims=True), 1)
                 own = langs[a : a + len(m)]
-                for lang in set(own):
+                for lang in sorted(set(own)):
                     sums.setdefault(lang, np.zeros(SYMBOLS**N))[used] += m[own == lang].sum(0)
-            if len(sums) > MAX_LANGS:
-                raise ValueError(f"more than {MAX_LANGS} languages")
-        for lang, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(x[at])], names=["lang", "code", "n"])
+                    if len(sums) >= HELD_LANGS:
+                        yield from flush()
+        yield from flush()
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's part of the prototypes; its rows come sorted by language."""
+        last, sums = None, np.zeros(SIZE)
+        part = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["lang", "part"])
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            codes, shares = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+            cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if last is not None and langs[a] != last:
+                        yield part()
+                        sums = np.zeros(SIZE)
+                    last = langs[a]
+                    sums = sums + shares[a:b] @ Profiles.vectors()[codes[a:b]].astype(np.float64)
+        if last is not None:
+            yield part()
+
+    def prototype(group: pa.Table) -> pa.Table:
+        x = np.stack(group.column("part").to_pylist()).sum(0)
+        x = x / max(float(np.linalg.norm(x)), 1e-30)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "vector": pa.array([x.astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = rows.mapInArrow(count, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most MAX_LANGS times the number of n-grams of the alphabet
-    langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
+    parts = sums.sortWithinPartitions("lang", "code").mapInArrow(bundle, "lang string, part array<double>")
+    vectors = parts.groupBy("lang").applyInArrow(prototype, "lang string, vector array<float>")  # a group has a row for each task
+    got = vectors.orderBy("lang").limit(MAX_LANGS + 1).toArrow()
+    if got.num_rows > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    place = {x: k for k, x in enumerate(langs)}
-    weights = np.zeros((len(langs), SYMBOLS**N))
-    weights[[place[x] for x in got.column("lang").to_pylist()], got.column("code").to_numpy()] = got.column("n").to_numpy()
-    prototypes = np.zeros((len(langs), SIZE), np.float32)
-    for a in range(0, SYMBOLS**N, 8192):
-        prototypes += (weights[:, a : a + 8192] @ Profiles.vectors()[a : a + 8192].astype(np.float32)).astype(np.float32)
-    return langs, prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-30)
+    order = np.argsort(np.array(got.column("lang").to_pylist(), object), kind="stable")
+    flat = got.column("vector").combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, np.float32)
+    return [got.column("lang")[int(k)].as_py() for k in order], flat.reshape(-1, SIZE)[order]
 
 
 def predict(docs: DataFrame) -> DataFrame:
