@@ -43,6 +43,8 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Words before a token that name a secret.
 NAMES = "password passwd pwd secret token api apikey api_key key auth authorization bearer credential credentials private access session cookie signature passphrase"
 TRAIN_TEXTS, TRAIN_ROUNDS, SEED = 1500, 120, 11
+#: Words of each training text, and the length from which a word is left out.
+TRAIN_WORDS, LONG_WORD = 40, 60
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
 
 _TOKEN = np.zeros(256, bool)
@@ -242,13 +244,11 @@ def _made_up(rng: random.Random) -> str:
 
 
 def _fit(texts: list[str]) -> Field:
-    """A field fitted on texts with made-up secrets put in; also lures: long words, numbers, addresses and dates."""
+    """A field fitted on runs of words with made-up secrets put in; also lures: long words, numbers, addresses and dates."""
     rng, field, sequences = random.Random(SEED), Field(), []
     names = NAMES.split()
     for text in texts or ["a few plain words to learn from and nothing else"] * 50:
-        plain = text.split(" ")
-        at = rng.randrange(max(1, len(plain) - 40))
-        plain = [x for x in plain[at : at + 40] if len(x) < 60 and not any(c.isdigit() for c in x)] or ["plain"]
+        plain = [x for x in text.split(" ") if not any(c.isdigit() for c in x)] or ["plain"]
         lure = rng.choice(["2024-05-17", "+1 (415) 555-2671", "192.168.10.24", "name.surname42@mail3.example.com", "4465758382889437", "https://www.example.org/en/4711?page=2", "v1.20.3-beta", "tionrelyandthoned" * 2, "HeadlineWithCamelCase", "DE44500105175407324931"])
         piece, secret = list(plain), _made_up(rng)
         lead = rng.choice(["", "", rng.choice(names) + rng.choice([" = ", ": ", "=", " "]), rng.choice(names).upper() + "="])
@@ -272,13 +272,17 @@ def _fit(texts: list[str]) -> Field:
 
 
 def train(docs: DataFrame) -> Field:
-    """A field from the ``TRAIN_TEXTS`` texts with the smallest hash (equal texts once)."""
+    """A field from a run of ``TRAIN_WORDS`` words of each of the ``TRAIN_TEXTS`` texts with the smallest hash (equal texts once)."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and length(text) > 0")
     hashed = rows.select(F.xxhash64("text").alias("h"), "text")
     # Hashes alone are ordered first: a limit on rows with texts would send that many whole texts of every partition to the driver.
     bound = hashed.select("h").orderBy("h").limit(TRAIN_TEXTS).agg(F.max("h")).first()[0]
-    some = hashed.where(F.col("h") <= F.lit(bound)).select("text").distinct()  # at most TRAIN_TEXTS texts
-    return _fit(sorted({r.text for r in some.collect()}))
+    # The run is cut in the tasks, and long words go there, so what comes to the driver has a bound.
+    words = F.split("text", " ")
+    start = F.pmod(F.col("h"), F.greatest(F.size(words) - TRAIN_WORDS, F.lit(1))) + 1
+    run = F.array_join(F.filter(F.slice(words, start.cast("int"), TRAIN_WORDS), lambda x: F.length(x) < LONG_WORD), " ")
+    some = hashed.where(F.col("h") <= F.lit(bound)).select("h", run.alias("run")).distinct()  # at most TRAIN_TEXTS texts
+    return _fit([r.run for r in sorted(some.collect())])
 
 
 def scan(docs: DataFrame) -> DataFrame:
