@@ -244,7 +244,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tuple[str, ...] = ("doc_id",)) -> None:
-    """Encode ``docs`` (doc_id, text) and write the code files below ``path`` in ascending order."""
+    """Encode ``docs`` (doc_id, text) and write the code files below ``path`` in ascending order.
+
+    With an empty ``order`` the rows stay where they are, without a shuffle; they should
+    then come from a table, whose parts are the same in every attempt.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -275,7 +279,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: tu
     # A number of its own keeps adaptive execution from merging parts, so the partition is the shard.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
     keys = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order))] + [F.xxhash64("text")]
-    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    if order:
+        rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    rows = rows.select("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -315,7 +321,16 @@ def lookup(spark: SparkSession, path: str, positions: list[int]) -> dict[int, in
         return {}
     at = spark.createDataFrame(wanted, "position long, shard int, place long")
     hit = spark.read.schema(SCHEMA).parquet(path).join(F.broadcast(at), "shard").where("place >= first and place < first + n_tokens")
-    return {r.position: Codes(bytes(r.payload))[r.place - r.first] for r in hit.select("position", "place", "first", "payload").collect()}
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for r in range(batch.num_rows):
+                place, first, payload = (batch.column(c)[r].as_py() for c in ("place", "first", "payload"))
+                ids.append(Codes(payload)[place - first])
+            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(ids, pa.int64())], names=["position", "id"])
+
+    return dict(hit.select("position", "place", "first", "payload").mapInArrow(probe, "position long, id long").collect())  # a row for each position asked for
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
