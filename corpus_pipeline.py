@@ -2,8 +2,13 @@
 
 Toxic documents go, one document of each group of near copies stays, documents that
 hold benchmark passages go, sources are mixed to equal weights, and what remains is
-written as token codes in ascending ``doc_id`` order (a reader shuffles by the
-mixing operator's key; copies of a document stand side by side).
+written as token codes in the shuffled order that mixing gave it.
+
+Edge cases: rows with a null or empty text stay unless the toxicity stage scores empty
+texts as toxic, and each becomes the end id alone; rows with a null ``doc_id`` stay as
+copies, as no id tells which to drop; repeated rows are one document by their id, so
+they stay or go together; an empty table gives no rows; columns beside those of
+``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_codes.encode_documents(docs)
+    return token_codes.encode_documents(docs, order=())
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_copies), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("token_codes", write_tokens)]
