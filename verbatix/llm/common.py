@@ -10,7 +10,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,24 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task under this name, made where it is first asked for."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """A task that needs much memory gives back what its worker kept for tasks of other operators."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of materialized tables that are no longer needed."""
     jvm = spark.sparkContext._jvm

@@ -202,18 +202,13 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """The worker's encoder, with what it remembers from earlier tasks.
 
     Tasks must come here for it: a function that is sent to the workers by value
     carries a copy of the module variables it names, empty in every task.
     """
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return common.kept(path, lambda: Encoder(path))
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:

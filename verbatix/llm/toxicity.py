@@ -321,6 +321,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | N
     scale[slots] += chi / n * chi / (chi + CHANCE)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         total, rows = np.zeros(SLOTS, np.int32), 0
         for batch in batches:
             rows += batch.num_rows
@@ -349,6 +350,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | N
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pickled index, in pieces. A task builds it, so that the driver only passes it on."""
+        common.let_go()
         got = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())]))
         got = got.take(np.lexsort((got.column("toxic").to_numpy(), got.column("doc_id").to_numpy())))
         words, counts = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int32) for c in ("slots", "counts"))
@@ -379,7 +381,9 @@ class Model:
 
     @cached_property
     def index(self) -> Index:
-        return pickle.loads(self.blob)
+        common.let_go()
+        blob, self.blob = self.blob, b""  # the worker's copy is not needed beside the index
+        return pickle.loads(blob)
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
