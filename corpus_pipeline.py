@@ -40,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle_executors(spark)  # the tokenizers of the workers need room beside the heaps
     return token_codes.encode_documents(docs, order=())
 
 

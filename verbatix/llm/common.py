@@ -6,6 +6,7 @@ numpy finds words and hashes them without making Python strings.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -72,6 +73,19 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle_executors(spark: SparkSession) -> None:
+    """Executors give back the heap of earlier steps, which their JVMs otherwise hold up to its limit beside the Python workers; a task for each core reaches them all."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system; C's allocator keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 _kept: dict[str, object] = {}
 
 
@@ -83,11 +97,11 @@ def kept(name: str, make: Callable[[], object]) -> object:
 
 
 def let_go() -> None:
-    """A task that needs much memory gives back what its worker kept for tasks of other operators."""
+    """A task that needs much memory gives back what its worker kept for tasks of other operators, and what these have freed."""
     if _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    trim()
 
 
 def drop_shared(spark: SparkSession, *tables: DataFrame) -> None:

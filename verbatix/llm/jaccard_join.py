@@ -166,6 +166,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents are linked where 100 |A & B| >= percent |A | B|."""
     common.settle(docs.sparkSession)
+    common.settle_executors(docs.sparkSession)
     order = repeated_shingles(docs, n)
     prefixed = common.materialize(prefix_rows(docs, n, percent, order))
     total = prefixed.count()

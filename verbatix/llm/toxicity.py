@@ -287,6 +287,8 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | None:
     """The scale of each slot, and the index of labelled examples (``Model``); None without labelled rows."""
     spark = docs.sparkSession
+    common.settle(spark)
+    common.settle_executors(spark)
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     mine = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
@@ -297,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | N
     sample = common.materialize(sample.select("doc_id", "toxic", "text"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for batch in batches:
             y = batch.column("toxic").to_numpy()
             slots, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -359,8 +362,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast] | N
         row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
         vectors = Rows(first, np.searchsorted(slots, words).astype(np.int32), _weights(row, counts, shared.value[words], len(first) - 1))
         index = Index(vectors, got.column("toxic").to_numpy().astype(np.float64), got.column("doc_id").to_numpy(), slots, len(slots))
+        del got, words, counts, row, vectors
         index.calibrate()
         blob = pickle.dumps(index, protocol=5)
+        del index
+        common.trim()
         for k in range(0, len(blob), PIECE):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blob[k : k + PIECE]], pa.binary())], names=["at", "piece"])
 
@@ -383,7 +389,10 @@ class Model:
     def index(self) -> Index:
         common.let_go()
         blob, self.blob = self.blob, b""  # the worker's copy is not needed beside the index
-        return pickle.loads(blob)
+        index = pickle.loads(blob)
+        del blob
+        common.trim()
+        return index
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
