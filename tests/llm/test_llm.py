@@ -85,6 +85,16 @@ def test_links_without_stars(spark):
     assert got == {ids[0]: ids[0], ids[1]: min(ids[1:]), ids[2]: min(ids[1:])}
 
 
+def test_finished_lists_are_not_read_again(spark, monkeypatch):
+    """Posting lists whose classes are all in one component are labelled once, whatever rounds follow."""
+    labelled, label = [], jaccard_join._labelled
+    monkeypatch.setattr(jaccard_join, "_labelled", lambda lists, labels: labelled.append(lists.count()) or label(lists, labels))
+    t = texts()
+    got = jaccard_join.link_components(docs(spark, t)).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_components(t, 4, 85)
+    assert len(labelled) > 1 and all(n < labelled[0] / 2 for n in labelled[1:])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeated_ids_keep_their_links(spark, seed):
     """Rows of one id are one document, whatever their texts are."""

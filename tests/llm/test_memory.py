@@ -1,5 +1,7 @@
 """What workers and executors give back between steps."""
 
+import ctypes
+import os
 import subprocess
 import sys
 
@@ -34,3 +36,20 @@ def test_executors_collect_their_garbage(spark):
     before = count()
     common.settle_executors(spark)
     assert count() >= before + spark.sparkContext.defaultParallelism
+
+
+def test_the_driver_gives_back_what_its_allocators_hold(spark):
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+    got = [libc.malloc(100_000) for _ in range(2000)]
+    for p in got:
+        ctypes.memset(p, 1, 100_000)
+    for p in got[:-1]:  # the last block stays, at the top of the heap
+        libc.free(p)
+    before = rss()
+    common.settle(spark)
+    assert before - rss() > 150
+    libc.free(got[-1])
+    said = common.trim_jvm(spark)
+    assert said is None or "Trim native heap" in said

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel handles at once; working arrays take about 50 times that.
@@ -67,10 +68,27 @@ def materialize(df: DataFrame, partition_by: str | None = None, rows: int | None
 
 
 def settle(spark: SparkSession) -> None:
-    """Give back the driver's memory of earlier steps: what nothing refers to in Python and in the JVM, where broadcasts and shuffles are dropped only after a collection."""
+    """Give back the driver's memory of earlier steps: what nothing refers to in Python and in the JVM, where broadcasts and shuffles are dropped only after a collection, and what the allocators of both hold free."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str | None:
+    """The driver's JVM gives free memory beside its heap back to the system; what it says of that, or None if it has no such command."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    lang = jvm.java.lang
+    kinds, args = gateway.new_array(lang.Class, 4), gateway.new_array(lang.Object, 4)
+    try:
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = lang.Class.forName(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = gateway.new_array(lang.Object, 0), gateway.new_array(lang.String, 0)
+        # By the interface's method: the server's own class is not open to other modules.
+        return lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return None
 
 
 def settle_executors(spark: SparkSession) -> None:

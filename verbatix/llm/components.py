@@ -23,6 +23,7 @@ def components(edges: DataFrame, labels: DataFrame | None = None, rows: int | No
     rows = both.count()  # from the files' footers; there are no more nodes than that
     now = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), rows=rows)
     while True:
+        common.settle(edges.sparkSession)  # each round leaves broadcasts in the driver
         near = both.join(now, both.b == now.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = now.select(F.col("node").alias("label"), F.col("label").alias("next"))

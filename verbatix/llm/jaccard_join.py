@@ -16,9 +16,10 @@
 A large family of near copies would give a quadratic number of pairs in step 4.
 Pairs within one component add nothing to the result, so stars come first: in each
 posting list every class is verified against a leader of that list, which is linear
-in the list. Then exactly those pairs remain whose classes lie in different
-components; each has an end outside the list's main component, and all of them are
-filtered and verified. No list and no candidate is dropped.
+in the list. Lists within one component are done and not read by later rounds. Then
+exactly those pairs remain whose classes lie in different components; each has an end
+outside the list's main component, and all of them are filtered and verified. No list
+with an open pair and no candidate is dropped.
 
 Edge cases: a null text or a text without words has the empty set and is linked
 with nothing; a text with fewer than ``n`` words has its whole sequence as one
@@ -189,8 +190,10 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     own = groups.where("members > 1").select(F.col("gid").alias("shingle"), "gid").join(heads.select("gid", "n"), "gid").select("shingle", "gid", "n", F.lit(0).alias("place"))
     rows = common.materialize(prefixed.select("doc_id", "n", "sig1", "sig2"))
     common.drop_shared(docs.sparkSession, prefixed)  # prefixes live on in ``grouped``
+    common.settle(docs.sparkSession)
     lists = posting.unionByName(own).join(grouped.select("gid", "cid"), "gid")
     lists = common.materialize(lists.select("shingle", "cid", "n", "place"), rows=many)
+    common.settle(docs.sparkSession)
 
     wanted = grouped.select("cid", "name", "h").join(lists.select("cid").distinct(), "cid")
     wanted = common.materialize(wanted, rows=total)
@@ -206,7 +209,11 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     labels, tried = components(common.materialize(_same_id(rows, classes)), None, total) if mixed else None, None
     for k in range(STAR_ROUNDS):
         common.settle(docs.sparkSession)
-        now = lists.join(weights, "cid").withColumn("label", F.col("cid")) if labels is None else _labelled(lists, labels)
+        if labels is None:
+            now = lists.join(weights, "cid").withColumn("label", F.col("cid"))
+        else:
+            now = _open(lists, labels, many)
+            lists = now.drop("label")
         rank = F.struct(-F.col("weight"), F.xxhash64("cid")) if labels is None else F.struct(F.lit(0), F.xxhash64("cid", F.lit(k)))
         lead = now.groupBy("shingle").agg(F.min(F.struct(rank, "cid", "label", F.col("n").alias("m"), F.col("place").alias("spot"))).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         lead = lead.select("shingle", F.col("l.cid").alias("other"), F.col("l.label").alias("its"), F.col("l.m").alias("m"), F.col("l.spot").alias("spot"))
@@ -223,7 +230,8 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     if labels is None:  # no list has a star; each class is its own
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
     common.settle(docs.sparkSession)
-    now = common.materialize(_labelled(lists, labels), rows=many)
+    now = _open(lists, labels, many)
+    common.settle(docs.sparkSession)
     sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("length")).where("labels > 1")
     main = common.materialize(main.select("shingle", F.col("top.label").alias("main"), "length"), rows=many)
@@ -233,7 +241,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     long_ones = opened.where(F.col("length") >= LONG_LIST).join(held, "cid").drop("length")
     short_ones = opened.where(F.col("length") < LONG_LIST).drop("length")
     open_lists = common.materialize(long_ones.unionByName(short_ones, allowMissingColumns=True), rows=many)
-    common.drop_shared(docs.sparkSession, lists, now, main, grouped)
+    common.drop_shared(docs.sparkSession, now, main, grouped)
     common.settle(docs.sparkSession)
     outside = open_lists.where("label != main").select("shingle", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("prefix").alias("vprefix"), *(F.col(c).alias(f"v{c}") for c in SKETCH))
     # |A ^ B| is at most what two sets of these sizes may differ in, and at least the difference of their sketches.
@@ -245,6 +253,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     rest = rest.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     rest = common.materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), rows=many)
     common.drop_shared(docs.sparkSession, open_lists)
+    common.settle(docs.sparkSession)
     found = common.materialize(_verify(rest, texts, n, percent), rows=many)
     common.drop_shared(docs.sparkSession, texts, rest)
     labels = components(found, labels, total)
@@ -282,6 +291,16 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels, lists.cid == labels.node, "left").select("shingle", "cid", "n", "place", F.coalesce("label", "cid").alias("label"))
 
 
+def _open(lists: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """The posting lists whose classes lie in several components, labelled; the files of ``lists`` go. Components only merge, so a list within one gives no pair any more."""
+    now = common.materialize(_labelled(lists, labels), rows=rows)
+    common.drop_shared(lists.sparkSession, lists)
+    several = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+    left = common.materialize(now.join(several, "shingle", "left_semi"), rows=rows)
+    common.drop_shared(lists.sparkSession, now)
+    return left
+
+
 def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component of links, that with the smallest ``doc_id``; documents without links all stay."""
     found = link_components(docs, n, percent).where("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
