@@ -6,7 +6,7 @@ whole text, and ``doc_id % 10`` chooses how the translation differs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, terms
@@ -332,10 +332,16 @@ def log_status(spark, sf_dir):
     return metrics.status_counts(rows, ["condition_id"])
 
 
+def _capital(letter: Column) -> Column:
+    """The capital of one letter as one letter, as the SQL has it; where Java has several (SS, FI) the letter stays, but for sharp s, which has a capital of its own."""
+    return F.when(F.length(F.upper(letter)) == 1, F.upper(letter)).otherwise(F.replace(letter, F.lit("ß"), F.lit("ẞ")))
+
+
 def translatable(spark, sf_dir):
     """Whether whole texts, their digits and signs, and their first letters need a translation."""
     text = F.coalesce("text", F.lit(""))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", text.alias("a"), F.regexp_replace(text, "[a-zA-Z]", "").alias("b"), F.upper(F.substring(text, 1, 2)).alias("c"))
+    first = F.concat(*(_capital(F.substring(text, at, 1)) for at in (1, 2)))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.alias("a"), F.regexp_replace(text, "[a-zA-Z]", "").alias("b"), first.alias("c"))
     return rows.select("doc_id", *(candidates.is_translatable(F.col(c)).alias(f"{c}_wanted") for c in "abc"))
 
 
