@@ -1,8 +1,13 @@
 """Queries on texts that the supplied small tables lack, beside their SQL or plain recomputation."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import canonical
 
+from verbatix.functions import tokens as T
+from verbatix.operators import glossary
 from verbatix.plans.catalogue import ORACLES, QUERIES
 
 
@@ -22,3 +27,35 @@ def both(spark, folder, name, texts, items=()):
 def test_capitals_of_several_letters(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "translatable", ["Üß. x", "ß", "ßa", "ﬁn", "ŉA", "ıx", "Éa", "AB", "ABC", "", None, "İB", "ΐA", "aß"])
     assert got == wanted
+
+
+def test_marks_hold_all_tokens(spark):
+    rng = random.Random(3)
+    parts = [*"%%&&<>{}\\ \n;#xnrtLd12-+*.a/b\"é第", "𠮷", "&amp;", "</b>", "<b ", "%1", "%n", "\u00a0"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(20))),) for _ in range(4000)], "s string").select("s", T.marks(F.col("s")).alias("m"))
+    for kind in set(T.EXTRACTORS) - {"number"}:
+        assert not rows.where(~(T.EXTRACTORS[kind](F.col("s")) == T.EXTRACTORS[kind](F.col("m")))).head(1)
+    assert spark.createDataFrame([("word %1 " * 9 + "plain " * 500,)], "s string").select(F.length(T.marks(F.col("s"))).alias("n")).first().n < 60
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_glossary_by_plain_recomputation(spark, monkeypatch, most):
+    monkeypatch.setattr(glossary, "LISTED_KEYS", most)
+    one = lambda t: t[:-3] + "y" if len(t) > 5 and t.endswith("ies") else t[:-2] if len(t) > 4 and t.endswith(("ches", "shes", "xes", "zes")) else t[:-1] if len(t) > 3 and t.endswith("s") and not t.endswith(("ss", "us", "is")) else t
+    rng = random.Random(4)
+    words = ["map", "maps", "boxes", "box", "query", "queries", "class", "this", "a", "status", "layers", "layer"]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(12))] for _ in range(60)]
+    entries = [[rng.choice(words) for _ in range(rng.randrange(1, 4))] for _ in range(25)]
+    wanted = set()
+    for i, t in enumerate(texts):
+        for e, k in enumerate(entries):
+            key = [one(x) for x in k]
+            runs = [t[p : p + len(k)] for p in range(len(t) - len(k) + 1)]
+            if any(r == key or [one(x) for x in r] == key for r in runs):
+                wanted.add((i, e, len(k)))
+    segments = spark.createDataFrame([(i, "c", " ".join(t)) for i, t in enumerate(texts)], "idx long, condition_id string, source string")
+    terms_of = spark.createDataFrame([(e, " ".join(k)) for e, k in enumerate(entries)], "entry_pos int, source_term string")
+    found = glossary.hits(segments, terms_of)
+    assert {(r.idx, r.entry_pos, r.size) for r in found.collect()} == wanted
+    if most:  # a run that begins no key is not exploded, and the join goes by whole keys
+        assert "[first#" not in found._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,8 @@ from ..functions import terms
 
 #: Glossaries of at most so many keys are broadcast; larger ones shuffle.
 BROADCAST_KEYS = 200_000
+#: Runs of tokens are looked up before the join in glossaries of at most so many keys; all those of larger ones join.
+LISTED_KEYS = 10_000
 
 
 def keyed(glossary: DataFrame, fold: bool = True, colon: bool = False) -> DataFrame:
@@ -26,25 +28,30 @@ def deduplicated(glossary: DataFrame) -> DataFrame:
 def hits(segments: DataFrame, glossary: DataFrame, cap: int | None = None, raw_too: bool = True, fold: bool = True, colon: bool = False) -> DataFrame:
     """(idx, condition_id, entry_pos, size, rank): entries whose term stands in the source, longest first.
 
-    At each token the run of as many tokens as the longest key has is cut out; the join
-    goes by the first token, and only what it leaves is compared in full. ``raw_too``
+    At each token that can begin a key the run of as many tokens as the longest key has
+    is cut out, and the distinct runs of a segment are reduced at once; what they begin
+    with, in all lengths that keys have, joins the keys as text. ``raw_too``
     also matches keys against tokens that are not reduced. Each (segment, entry) counts
     once; hits of a segment are gathered in one shuffle and ranked there.
     """
-    keys = keyed(glossary, fold, colon)
-    bound = keys.agg(F.max("size").alias("longest"), F.count("*").alias("n")).first()
+    keys = keyed(glossary, fold, colon).select("entry_pos", F.array_join("key", " ").alias("key"), "size")  # no token holds a space
+    bound = keys.agg(F.collect_set("size").alias("sizes"), F.count("*").alias("n")).first()
     if not bound.n:
         return segments.select("idx", "condition_id").limit(0).selectExpr("idx", "condition_id", "0 AS entry_pos", "0 AS size", "1 AS rank")
-    base = segments.select("idx", "condition_id", terms.term_tokens(F.col("source"), fold, colon).alias("raw")).withColumn("one", terms.canonical(F.col("raw")))
-
-    def runs(name: str) -> Column:
-        at = F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.slice(F.col(name), i, bound.longest))
-
-    every = F.array_distinct(F.concat(runs("one"), runs("raw"))) if raw_too else runs("one")
-    probes = base.select("idx", "condition_id", F.explode(every).alias("run")).withColumn("first", F.get("run", F.lit(0)))
-    keys = keys.withColumn("first", F.get("key", F.lit(0)))
-    found = probes.join(F.broadcast(keys) if bound.n <= BROADCAST_KEYS else keys, "first").where(F.slice("run", F.lit(1), F.col("size")) == F.col("key"))
+    listed = sorted({r.key for r in keys.select("key").distinct().collect()}) if bound.n <= LISTED_KEYS else None
+    begins = None if listed is None else sorted({t for k in listed for t in terms.reducible(k.split(" ")[0])})
+    runs = segments.select("idx", "condition_id", terms.term_tokens(F.col("source"), fold, colon).alias("raw"))
+
+    def cut(t: Column, i: Column) -> Column:
+        run = F.array_join(F.slice("raw", i + 1, max(bound.sizes)), " ")
+        return run if begins is None else F.when(t.isin(begins), run)
+
+    runs = runs.select("idx", "condition_id", F.array_distinct(F.array_compact(F.transform("raw", cut))).alias("raw"))
+    one = F.split(terms.canonical_text(F.array_join("raw", " | ")), r" \| ")  # no token is a bar
+    runs = runs.select("idx", "condition_id", (F.array_distinct(F.concat(one, "raw")) if raw_too else one).alias("run"))
+    parts = F.array_distinct(F.flatten(F.transform("run", lambda r: F.array(*(F.substring_index(r, " ", n) for n in sorted(bound.sizes))))))
+    probes = runs.select("idx", "condition_id", F.explode(parts if listed is None else F.filter(parts, lambda x: x.isin(listed))).alias("key"))
+    found = probes.join(F.broadcast(keys) if bound.n <= BROADCAST_KEYS else keys, "key")
     own = found.groupBy("condition_id", "idx").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("less"), "entry_pos"))).alias("hits"))
     own = own.withColumn("hits", F.slice("hits", 1, cap)) if cap is not None else own
     ranked = own.select("condition_id", "idx", F.posexplode("hits").alias("place", "hit"))
