@@ -62,26 +62,28 @@ def _pairs(kinds: list[str], profile: dict, number: str) -> str:
 def checked(segments: DataFrame, profile: str = "evaluator") -> DataFrame:
     """Segments with ``issues``, an array of (check_ordinal, issue_type, severity, tokens, form_index) in check order.
 
-    Tokens of both sides are projected once; comparisons then read these columns, so a
-    text goes through each pattern a single time.
+    Tokens of both sides are projected once, from the marks of a text; comparisons then
+    read these columns. Two texts are normalized in full only where one's beginning goes
+    on as the other's does, as else neither can begin with the other.
     """
     rules = PROFILES[profile]
     kinds = [*GROUPS[:6], *(["escaped_control"] if rules["controls"] else []), "accelerator"]
     src, out = F.coalesce("source", F.lit("")), F.coalesce("translation", F.lit(""))
-    s, t = T.normalized(src), T.normalized(out)
+    s, t = T.head(src), T.head(out)
+    near = s.startswith(t) | t.startswith(s)
     plural = "forms" in segments.columns
     forms = F.when(F.size("forms") > 1, F.col("forms")).otherwise(F.array(out)) if plural else F.array(out)
-    tokens = lambda text: F.struct(*(T.EXTRACTORS[k](text).alias(k) for k in kinds), T.newline_count(text).alias("newline"))
-    base = segments.withColumns({"_own": tokens(src), "_forms": F.transform(forms, tokens), "_s": s, "_t": t, "_cjk": T.cjk_count(t)})
+    tokens = lambda text: F.transform(F.array(T.marks(text)), lambda m: F.struct(*(T.EXTRACTORS[k](text if k == "number" else m).alias(k) for k in kinds), T.newline_count(text).alias("newline")))[0]
+    base = segments.withColumns({"_own": tokens(src), "_forms": F.transform(forms, tokens), "_s": F.when(near, T.normalized(src)), "_t": F.when(near, T.normalized(out)), "_cjk": T.cjk_count(out)})
     same = (F.col("_s") == F.col("_t")) & (F.col("_s") != "") & ~F.col("_s").rlike(rf"\A{T.COPY_OK}\z")
     residue = [F.col("_t").startswith(F.concat(F.col("_s"), F.lit(f" {dash}"))) for dash in "-–—"]
     found = [
-        _issue(F.col("_t") == "", 1, "empty_translation", "critical"),
+        _issue((t == "") & ~out.rlike(r"(?U)\S"), 1, "empty_translation", "critical"),
         _issue(F.col("translation_type") == "unfinished", 2, "unfinished_translation", "major"),
         _issue(F.col("translation_type") == "missing_translation_element", 3, "missing_translation_element", "critical"),
         _issue(same, 4, "possibly_untranslated", "major"),
         _issue((F.col("_s") != "") & (residue[0] | residue[1] | residue[2]), 5, "bilingual_residue", "major"),
-        _issue((F.col("_cjk") > 0) & (T.latin_count(F.col("_t")) > F.greatest(F.lit(12.0), F.col("_cjk") * 1.2)) & ~src.rlike("SQL|HTML|API|CRS"), 6, "high_english_residue", "minor"),
+        _issue((F.col("_cjk") > 0) & (T.latin_count(out) > F.greatest(F.lit(12.0), F.col("_cjk") * 1.2)) & ~src.rlike("SQL|HTML|API|CRS"), 6, "high_english_residue", "minor"),
     ]
     per_form = F.expr(f"flatten(transform(_forms, (f, i) -> {_pairs(kinds, rules, 'i + 1' if plural else '0')}))")
     issues = F.concat(F.array_compact(F.array(*found)), per_form)

@@ -58,7 +58,8 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark, sf_dir):
     kinds = ("qt_placeholder", "brace_placeholder", "printf_placeholder", "html_xml_entity", "html_xml_tag", "accelerator", "escaped_control", "raw_tag")
-    rows = segments(spark, sf_dir).select("condition_id", *(F.size(T.EXTRACTORS[k](F.col(c))).alias(f"{c}_{k}") for k in kinds for c in ("source", "translation")), T.latin_count(F.col("translation")).alias("latin"), T.cjk_count(F.col("translation")).alias("cjk"), T.newline_count(F.col("translation")).alias("newlines"))
+    rows = segments(spark, sf_dir).select("condition_id", "translation", T.marks(F.col("source")).alias("source_marks"), T.marks(F.col("translation")).alias("translation_marks"))
+    rows = rows.select("condition_id", *(F.size(T.EXTRACTORS[k](F.col(f"{c}_marks"))).alias(f"{c}_{k}") for k in kinds for c in ("source", "translation")), T.latin_count(F.col("translation")).alias("latin"), T.cjk_count(F.col("translation")).alias("cjk"), T.newline_count(F.col("translation")).alias("newlines"))
     names = [c for c in rows.columns if c != "condition_id"]
     return rows.groupBy("condition_id").agg(*(F.sum(c).cast("long").alias(c) for c in names))
 
