@@ -59,3 +59,11 @@ def test_glossary_by_plain_recomputation(spark, monkeypatch, most):
     assert {(r.idx, r.entry_pos, r.size) for r in found.collect()} == wanted
     if most:  # a run that begins no key is not exploded, and the join goes by whole keys
         assert "[first#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["issue_type_counts", "type_pivot", "best_and_worst"])
+def test_texts_are_checked_once(spark, tmp_path, name):
+    got, wanted = both(spark, tmp_path, name, [f"text {k}.5 %d {{a}} <b>" if k % 3 else None for k in range(60)])
+    assert got == wanted
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1

@@ -96,13 +96,23 @@ def summary(totals: DataFrame) -> DataFrame:
     )
 
 
-def issue_counts(segments: DataFrame, issues: DataFrame) -> DataFrame:
-    """Long table: per condition and issue type counts, distinct segments and their rate, and severities as a map."""
-    checked = segments.groupBy("condition_id").agg(F.count("*").alias("checked"))
-    by = issues.groupBy("condition_id", "issue_type", "severity").agg(F.count("*").alias("n"))
-    maps = by.groupBy("condition_id", "issue_type").agg(F.sum("n").alias("issues"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n"))))).alias("severities"))
-    ids = issues.groupBy("condition_id", "issue_type").agg(F.countDistinct("idx").alias("segments"))
-    out = maps.join(ids, ["condition_id", "issue_type"]).join(checked, "condition_id")
+def issue_counts(segments: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Long table: per condition and issue type counts, distinct segments and their rate, and severities as a map. Without a table of issues the segments carry them."""
+    # A row without a type stands for the segment itself, so that texts are read and checked once.
+    own = F.struct(F.lit(None).cast("string").alias("issue_type"), F.lit(None).cast("string").alias("severity"))
+    if issues is None:
+        each = F.concat(F.array(own), F.transform("issues", lambda x: F.struct(x["issue_type"].alias("issue_type"), x["severity"].alias("severity"))))
+        rows = segments.select("condition_id", "idx", F.inline(each))
+    else:
+        rows = segments.select("condition_id", "idx", own.alias("x")).select("condition_id", "idx", "x.*").unionByName(issues.select("condition_id", "idx", "issue_type", "severity"))
+    by = rows.where("condition_id is not null").groupBy("condition_id", "issue_type", "severity", "idx").agg(F.count("*").alias("n"))
+    # A segment counts once in a type, also where it has several severities.
+    by = by.groupBy("condition_id", "issue_type", "idx").agg(F.sum("n").alias("n"), F.collect_list(F.struct("severity", "n")).alias("levels"))
+    level = lambda s: F.sum(F.aggregate(F.filter("levels", lambda x: x["severity"] == s), F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias(s)
+    by = by.groupBy("condition_id", "issue_type").agg(F.sum("n").alias("issues"), F.count("idx").alias("segments"), *(level(s) for s in sorted(stats.ISSUE_POINTS)))
+    levels = F.filter(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("n")) for s in sorted(stats.ISSUE_POINTS))), lambda x: x["n"] > 0)
+    own_count = F.max(F.when(F.col("issue_type").isNull(), F.col("issues"))).over(Window.partitionBy("condition_id"))  # a row a type
+    out = by.select("*", own_count.alias("checked"), F.to_json(F.map_from_entries(levels)).alias("severities")).where("issue_type is not null and checked is not null")
     return out.select("condition_id", issue_group(F.col("issue_type")).alias("issue_group"), "issue_type", "issues", "segments", stats.safe_rate(F.col("segments"), F.col("checked")).alias("segment_rate"), "severities")
 
 
@@ -156,13 +166,10 @@ def labelled_union(parts: dict[str, DataFrame]) -> DataFrame:
 
 def best_and_worst(scores: DataFrame, k: int = 10) -> DataFrame:
     """The k items with the most affected segments (worst) and the k with the least (best), over all conditions."""
-    out = None
-    for name, order in (("worst", F.desc("affected")), ("best", F.asc("affected"))):
-        top = scores.orderBy(order, "condition_id", "item").limit(k)
-        place = F.row_number().over(Window.orderBy(order, "condition_id", "item"))  # k rows
-        part = top.select(F.lit(name).alias("kind"), place.alias("place"), "condition_id", "item", "affected", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    # Items are few, a row for each group of a condition, so both orders come from one pass of the texts.
+    places = [F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "condition_id", "item")).alias(name) for name, order in (("worst", F.desc("affected")), ("best", F.asc("affected")))]
+    kinds = F.array(*(F.struct(F.lit(name).alias("kind"), F.col(name).alias("place")) for name in ("worst", "best")))
+    return scores.select("condition_id", "item", "affected", "score", *places).select(F.inline(kinds), "condition_id", "item", "affected", "score").where(F.col("place") <= k)
 
 
 def run_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -75,7 +75,7 @@ def plural_issues(spark, sf_dir):
 
 
 def issue_type_counts(spark, sf_dir):
-    return metrics.issue_counts(segments(spark, sf_dir), _issues(spark, sf_dir))
+    return metrics.issue_counts(_checked(spark, sf_dir))
 
 
 def type_pivot(spark, sf_dir):
